@@ -55,8 +55,6 @@ RULES = (
     Rule("n_shouts", "n_words", high=30),
     Rule("n_stop_words", "n_words", low=3),
     Rule("n_dup_lines", "n_lines", high=50),
-    Rule("n_upper", "word_chars", high=60),
-    Rule("longest_word", "one", high=1000, scale=1),
 )
 
 
@@ -72,8 +70,15 @@ def passes(rules: tuple[Rule, ...]) -> Column:
     return out
 
 
+def _without(chars: str, text: Column, other: str = "") -> Column:
+    """Chained replacements of single characters: several times as fast as translate or a pattern."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(other))
+    return text
+
+
 def _chars_in(chars: str) -> Column:
-    return (F.length("_text") - F.length(F.translate("_text", chars, ""))).cast("long")
+    return (F.length("_text") - F.length(_without(chars, F.col("_text")))).cast("long")
 
 
 def _repeat_words() -> Column:
@@ -119,20 +124,18 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     line = F.split("_text", "\n", -1)
     has_word = f"[^{SPACE_CLASS}]"
     out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumns({"_words": F.regexp_extract_all("_text", F.lit(f"[^{SPACE_CLASS}]+"), F.lit(0)), "_lines": F.filter(line, lambda x: x.rlike(has_word))})
+    out = out.withColumns({"_words": F.array_remove(F.split(_without(SPACES[1:], F.col("_text"), " "), " ", -1), ""), "_lines": F.filter(line, lambda x: x.rlike(has_word))})
     out = out.withColumn("_hashes", _window_hashes())
     out = out.withColumn("_windows", _windows())
     stats = {
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.translate("_text", SPACES, "")).cast("long"),
+        "word_chars": (F.length("_text") - _chars_in(SPACES)).cast("long"),
         "n_symbols": _chars_in(SYMBOLS),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": _repeat_words(),
         "n_lines": F.size("_lines").cast("long"),
         "n_shouts": _chars_in("!"),
-        "n_upper": _chars_in("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
         "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stop))).cast("long"),
-        "longest_word": F.coalesce(F.array_max(F.transform("_words", F.length)), F.lit(0)).cast("long"),
     }
     out = out.withColumns(stats).withColumn("base_failed", ~passes(BASE_RULES))
     return out.withColumn("kept", ~F.col("base_failed") & passes(rules)).drop("_text", "_words", "_lines", "_hashes", "_windows")
@@ -165,9 +168,7 @@ s AS (SELECT w.r, doc_id, len(w)::BIGINT AS n_words,
         coalesce(n.n, 0)::BIGINT AS n_repeat_words,
         len(l)::BIGINT AS n_lines,
         (length(x) - length(replace(x, '!', '')))::BIGINT AS n_shouts,
-        (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g')))::BIGINT AS n_upper,
-        len(list_filter(w, lambda v: v IN ({stop})))::BIGINT AS n_stop_words,
-        coalesce(list_max(list_transform(w, lambda v: length(v))), 0)::BIGINT AS longest_word
+        len(list_filter(w, lambda v: v IN ({stop})))::BIGINT AS n_stop_words
       FROM w LEFT JOIN n ON n.r = w.r),
 b AS (SELECT *, NOT ({sql(BASE_RULES)}) AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
