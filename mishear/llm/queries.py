@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from mishear.llm import quality_rules, url_filter
+from mishear.llm import html_text, packing, quality_classifier, quality_rules, sentencepiece_codec, tiff, toxicity, url_filter
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.query,
+    "op3_html_text": html_text.query,
     "op4_url_filters": url_filter.query,
+    "op5_packing": packing.query,
+    "op6_quality_classifier": quality_classifier.query,
+    "op7_toxicity": toxicity.query,
     "op8_quality_rules": quality_rules.query,
+    "op9_tiff": tiff.query,
 }
 SQL = {
     "op4_url_filters": url_filter.SQL,
