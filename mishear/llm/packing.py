@@ -141,7 +141,7 @@ def tokenize_pieces(path: str, capacity: int, end_id: int) -> Callable:
                 length = np.diff(offsets) + 1
                 pieces = -(-length // capacity)
                 row = np.repeat(np.arange(len(length)), pieces)
-                piece = spans(np.zeros(len(length), np.int64), pieces)
+                piece = spans(np.zeros(len(length), np.int64), pieces).astype(np.int64)
                 start = piece * capacity
                 size = np.minimum(length[row] - start, capacity)
                 a = offsets[row] + start

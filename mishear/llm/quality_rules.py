@@ -137,8 +137,11 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
         "n_shouts": _chars_in("!"),
         "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stop))).cast("long"),
     }
-    out = out.withColumns(stats).withColumn("base_failed", ~passes(BASE_RULES))
-    return out.withColumn("kept", ~F.col("base_failed") & passes(rules)).drop("_text", "_words", "_lines", "_hashes", "_windows")
+    # a generator of one row: else a filter on the result would move below and evaluate the arrays once an element
+    given = [c for c in docs.columns if c not in {*stats, "base_failed", "kept"}]
+    out = out.select(*given, F.inline(F.array(F.struct(*(v.alias(n) for n, v in stats.items())))))
+    out = out.withColumn("base_failed", ~passes(BASE_RULES))
+    return out.withColumn("kept", ~F.col("base_failed") & passes(rules))
 
 
 def oracle(table: str = "documents") -> str:
