@@ -1,5 +1,434 @@
-"""Every query that the driver can run, with its SQL where SQL can express it."""
+"""Every query over the common tables, with its SQL where SQL can express it."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mishear.functions import arrays as ar
+from mishear.functions import text as t
+from mishear.operators import audio, classify, evaluate, manifest, ranking, segments, variants
+from mishear.operators.keys import compatible, first_by
+from mishear.sources.glossary import parse_terms
+
+FLAGSHIP = "gt_hits"
 QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = ""
+SQL: dict[str, str] = {}
+
+# SQL forms of the keys
+_SPACE = r"[\s\p{Z}\x{85}\x1c-\x1f]"
+
+
+def norm_sql(x: str) -> str:
+    return rf"replace(lower(regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')), 'ß', 'ss')"
+
+
+def spacing_sql(x: str) -> str:
+    return rf"replace(lower(trim(regexp_replace(regexp_replace({x}, '\p{{P}}', '', 'g'), '{_SPACE}+', ' ', 'g'))), 'ß', 'ss')"
+
+
+def compact_sql(x: str) -> str:
+    return rf"regexp_replace({norm_sql(x)}, '[^\p{{L}}\p{{N}}]', '', 'g')"
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def sql_values(rows: list[tuple]) -> str:
+    lit = lambda v: "NULL" if v is None else "[" + ", ".join(map(lit, v)) + "]" if isinstance(v, list) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return "VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+
+
+# keys and comparisons
+
+
+@query("text_keys", f"SELECT doc_id, {norm_sql('text')} AS normalized, {spacing_sql('text')} AS spacing_key, {compact_sql('text')} AS compact_key FROM documents")
+def text_keys(spark, d):
+    x = F.col("text")
+    return compatible(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", t.normalized(x).alias("normalized"), t.spacing_key(x).alias("spacing_key"), t.compact_key(x).alias("compact_key"))
+
+
+@query(
+    "compare_text",
+    f"""WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+SELECT conv_id, turn, {norm_sql('before')} = {norm_sql('text')} AS exact_match, {compact_sql('before')} = {compact_sql('text')} AS compact_match FROM c WHERE before IS NOT NULL""",
+)
+def compare_text(spark, d):
+    from pyspark.sql import Window
+
+    c = table(spark, d, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before IS NOT NULL")
+    c = c.withColumn("c", t.compare(F.col("before"), F.col("text")))
+    return c.select("conv_id", "turn", "c.exact_match", "c.compact_match")
+
+
+@query("compact_match", f"WITH k AS (SELECT doc_id, {compact_sql('text')} AS k FROM documents) SELECT k.doc_id, n AS same FROM k JOIN (SELECT k, count(*) AS n FROM k GROUP BY k HAVING count(*) > 1) USING (k)")
+def compact_match(spark, d):
+    """Documents whose compact key others share: a count for each key joins back, pairs are never listed."""
+    keys = table(spark, d, "documents").select("doc_id", F.xxhash64(t.compact_key(F.col("text"))).alias("k"))
+    return keys.join(keys.groupBy("k").agg(F.count("*").alias("same")).where("same > 1"), "k").select("doc_id", "same")
+
+
+# glossary
+
+_LINES = "SELECT p_partkey AS seq, p_brand || '|' || p_name || '| ' || upper(p_name) || '|' || p_type AS line FROM part"
+
+
+@query(
+    "gt_parse_merge",
+    f"""WITH l AS ({_LINES}), f AS (SELECT seq, list_transform(string_split(line, '|'), lambda x: trim(x)) AS f FROM l),
+k AS (SELECT seq, f, {spacing_sql('f[1]')} AS term_key FROM f),
+p AS (SELECT term_key, seq, i, f[i] AS c, {spacing_sql('f[i]')} AS ck FROM (SELECT term_key, seq, f, unnest(range(2, len(f) + 1)) AS i FROM k)),
+q AS (SELECT * FROM p WHERE ck <> '' AND ck <> term_key QUALIFY row_number() OVER (PARTITION BY term_key, ck ORDER BY seq, i) = 1),
+e AS (SELECT term_key, arg_min(f[1], seq) AS canonical, min(seq) AS seq, count(*) AS n_lines FROM k GROUP BY term_key)
+SELECT e.term_key, canonical, e.seq, n_lines, (SELECT string_agg(c, '|' ORDER BY q.seq, i) FROM q WHERE q.term_key = e.term_key) AS confusions FROM e""",
+)
+def gt_parse_merge(spark, d):
+    line = F.concat(F.col("p_brand"), F.lit("|"), F.col("p_name"), F.lit("| "), F.upper("p_name"), F.lit("|"), F.col("p_type"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("seq"), line.alias("line"))
+    return parse_terms(rows).select("term_key", "canonical", "seq", F.size("lines").cast("long").alias("n_lines"), F.array_join("confusions", "|").alias("confusions"))
+
+
+PAIRS = [
+    ("IdeaHub", "Idea Hub"), ("鹭兴", "陆星"), ("周清", "周星"), ("CloudRSE", "CloudRCE"), ("Nexent", "南盛的"), ("TR6", "TR六"), ("Box", "Pox"),
+    ("陈赵", "陈照"), ("12号", "十二号"), ("志伟", "市委"), ("A-1", "a1"), ("!!", "??"),
+]
+READINGS = [("鹭兴", ["lu4", "xing1"]), ("陆星", ["lu4", "xing1"]), ("周清", ["zhou1", "qing1"]), ("周星", ["zhou1", "xing1"]), ("志伟", ["zhi4", "wei3"]), ("市委", ["shi4", "wei3"])]
+
+
+@query("pair_classify")
+def pair_classify(spark, d):
+    pairs = values(spark, PAIRS, "canonical string, confusion string")
+    return classify.classify(pairs, values(spark, READINGS, "text string, syllables array<string>"))
+
+
+@query(
+    "category_counts",
+    """WITH c AS (SELECT CASE WHEN value < 30 THEN 'low' WHEN value < 60 THEN 'middle' ELSE 'high' END AS category FROM events)
+SELECT a.category, count(c.category) AS n FROM (VALUES ('low'), ('middle'), ('high'), ('never')) a(category) LEFT JOIN c USING (category) GROUP BY a.category""",
+)
+def category_counts(spark, d):
+    label = F.when(F.col("value") < 30, "low").when(F.col("value") < 60, "middle").otherwise("high")
+    known = values(spark, [("low",), ("middle",), ("high",), ("never",)], "category string")
+    return manifest.every_category(table(spark, d, "events").select(label.alias("category")), "category", known)
+
+
+# results: an order is a transcript, its customer's segment the term, its priority what was heard
+
+_RESULTS = """SELECT o_orderkey AS seq, c_mktsegment AS term_key, o_orderpriority AS out_key, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'reused' ELSE 'error' END AS status,
+  CAST(year(o_orderdate) AS VARCHAR) AS rule, c_nationkey AS condition, o_orderkey % 3 AS repeat, o_totalprice < 20000 AS exact, o_totalprice < 50000 AS compact
+FROM orders JOIN customer ON o_custkey = c_custkey"""
+_PAIRS = "SELECT DISTINCT c_mktsegment AS term_key, p AS conf_key FROM customer, (VALUES ('1-URGENT'), ('2-HIGH'), ('9-NEVER')) v(p)"
+
+
+def results(spark, d) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "reused").otherwise("error")
+    orders, customers = table(spark, d, "orders"), table(spark, d, "customer")
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("seq"),
+        F.col("c_mktsegment").alias("term_key"),
+        F.col("o_orderpriority").alias("out_key"),
+        status.alias("status"),
+        F.year("o_orderdate").cast("string").alias("rule"),
+        F.col("c_nationkey").alias("condition"),
+        (F.col("o_orderkey") % 3).alias("repeat"),
+        (F.col("o_totalprice") < 20000).alias("exact"),
+        (F.col("o_totalprice") < 50000).alias("compact"),
+        F.col("o_orderpriority").alias("output"),
+    )
+
+
+def pairs(spark, d) -> DataFrame:
+    known = values(spark, [("1-URGENT",), ("2-HIGH",), ("9-NEVER",)], "conf_key string")
+    return table(spark, d, "customer").select(F.col("c_mktsegment").alias("term_key")).distinct().crossJoin(F.broadcast(known))
+
+
+_BASE = f"WITH r AS ({_RESULTS}), g AS ({_PAIRS}) "
+_METRICS = "count(*) AS requests, count(*) FILTER (status = 'error') AS failures, count(*) FILTER (exact) AS exact, count(*) FILTER (compact) AS compact, round(count(*) FILTER (exact) / count(*), 6) AS exact_rate, count(DISTINCT out_key) AS transcripts"
+
+
+@query("gt_hits", _BASE + "SELECT r.term_key, conf_key, count(*) AS hits FROM r JOIN g ON r.term_key = g.term_key AND out_key = conf_key WHERE status = 'success' GROUP BY ALL")
+def gt_hits(spark, d):
+    return evaluate.hits(results(spark, d), pairs(spark, d))
+
+
+@query(
+    "gt_misses",
+    _BASE + """, h AS (SELECT DISTINCT term_key, out_key AS conf_key FROM r WHERE status = 'success'),
+m AS (SELECT g.* FROM g ANTI JOIN h USING (term_key, conf_key)),
+s AS (SELECT term_key, count(*) AS samples, count(*) FILTER (status <> 'error') AS heard, count(*) FILTER (status <> 'error' AND out_key = term_key) AS canonical, string_agg(DISTINCT rule, ' | ' ORDER BY rule) AS rules FROM r GROUP BY term_key),
+o AS (SELECT term_key, out_key, count(*) AS n, min(seq) AS f FROM r WHERE status <> 'error' GROUP BY term_key, out_key QUALIFY row_number() OVER (PARTITION BY term_key ORDER BY count(*) DESC, min(seq)) <= 8)
+SELECT m.term_key, conf_key, samples, heard, canonical, rules, (SELECT string_agg(out_key || ' (' || n || ')', ' | ' ORDER BY n DESC, f) FROM o WHERE o.term_key = m.term_key) AS top_outputs FROM m JOIN s USING (term_key)""",
+)
+def gt_misses(spark, d):
+    r = results(spark, d)
+    return evaluate.miss_details(evaluate.misses(r, pairs(spark, d)), r)
+
+
+@query(
+    "gt_coverage",
+    _BASE + """, h AS (SELECT r.term_key, conf_key, count(*) AS n FROM r JOIN g ON r.term_key = g.term_key AND out_key = conf_key WHERE status = 'success' GROUP BY ALL)
+SELECT (SELECT count(*) FROM g SEMI JOIN r USING (term_key)) AS known, count(*) AS unique_hits, coalesce(sum(n), 0)::BIGINT AS hit_events, count(DISTINCT term_key) AS terms_hit,
+  round(count(*) / (SELECT count(*) FROM g SEMI JOIN r USING (term_key)), 6) AS coverage FROM h""",
+)
+def gt_coverage(spark, d):
+    return evaluate.coverage(results(spark, d), pairs(spark, d))
+
+
+@query(
+    "group_breakdown",
+    _BASE + f", u AS (SELECT *, unnest([('rule', rule), ('term', term_key), ('condition', condition::VARCHAR), ('status', status)]) AS x FROM r) SELECT x[1] AS group_type, x[2] AS group_value, {_METRICS} FROM u GROUP BY ALL",
+)
+def group_breakdown(spark, d):
+    return evaluate.breakdown(results(spark, d), {"rule": F.col("rule"), "term": F.col("term_key"), "condition": F.col("condition"), "status": F.col("status")})
+
+
+@query(
+    "condition_rollup",
+    _BASE + f"SELECT condition, coalesce(repeat, -1) AS repeat, CASE WHEN grouping(repeat) = 0 THEN 'run' ELSE 'condition' END AS scope, {_METRICS} FROM r GROUP BY GROUPING SETS ((condition, repeat), (condition))",
+)
+def condition_rollup(spark, d):
+    return evaluate.by_condition(results(spark, d)).fillna(-1, ["repeat"])
+
+
+@query(
+    "top_error_transcripts",
+    "SELECT event_type, user_id::VARCHAR AS out_key, count(*) AS n, min(event_id) AS first_seq, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, min(event_id)) AS rank FROM events GROUP BY event_type, user_id QUALIFY rank <= 10",
+)
+def top_error_transcripts(spark, d):
+    e = table(spark, d, "events").select("event_type", F.col("user_id").cast("string").alias("out_key"), F.col("event_id").alias("seq"), F.lit(False).alias("compact"))
+    return evaluate.top_errors(e, ["event_type"])
+
+
+@query("variable_outputs", "SELECT l_partkey, count(DISTINCT l_returnflag) AS outputs FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_returnflag) > 1")
+def variable_outputs(spark, d):
+    return evaluate.variable_outputs(table(spark, d, "lineitem"), "l_partkey", "l_returnflag")
+
+
+@query(
+    "rule_effectiveness",
+    "SELECT event_type AS rule, count(*) AS generated, count(*) FILTER (value < 20) AS canonical, count(*) FILTER (value >= 20 AND value < 50) AS gt_hit, count(*) FILTER (value >= 50) AS over_distorted FROM events GROUP BY event_type",
+)
+def rule_effectiveness(spark, d):
+    v = F.col("value")
+    return evaluate.rule_effectiveness(table(spark, d, "events"), "event_type", {"canonical": v < 20, "gt_hit": v < 50, "over_distorted": v >= 50})
+
+
+@query(
+    "compare_sets",
+    """WITH a AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01'), b AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01')
+SELECT coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, count(*) FILTER (a.l_partkey IS NOT NULL AND b.l_partkey IS NOT NULL) AS matched, count(*) FILTER (b.l_partkey IS NULL) AS known_only, count(*) FILTER (a.l_partkey IS NULL) AS observed_only
+FROM a FULL JOIN b ON a.l_suppkey = b.l_suppkey AND a.l_partkey = b.l_partkey GROUP BY 1""",
+)
+def compare_sets(spark, d):
+    x = table(spark, d, "lineitem")
+    return evaluate.compare_sets(x.where("l_shipdate < TIMESTAMP '1995-01-01'"), x.where("l_shipdate >= TIMESTAMP '1995-01-01'"), "l_suppkey", "l_partkey")
+
+
+@query(
+    "confusion_ranking",
+    _BASE + ", c AS (SELECT term_key, out_key, count(*) AS n, arg_min(out_key, seq) AS display, min(seq) AS first_seq FROM r WHERE status <> 'error' AND out_key <> term_key GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY term_key ORDER BY n DESC, first_seq) AS rank FROM c",
+)
+def confusion_ranking(spark, d):
+    return ranking.confusions(results(spark, d))
+
+
+@query(
+    "ranking_with_known",
+    _BASE + ", c AS (SELECT term_key, out_key, count(*) AS n, min(seq) AS f FROM r WHERE status <> 'error' AND out_key <> term_key GROUP BY ALL), k AS (SELECT term_key, out_key, n, row_number() OVER (PARTITION BY term_key ORDER BY n DESC, f) AS rank FROM c) SELECT * FROM k UNION ALL SELECT g.term_key, g.conf_key, 0, 0 FROM g WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.term_key = g.term_key AND k.out_key = g.conf_key)",
+)
+def ranking_with_known(spark, d):
+    return ranking.with_known(ranking.confusions(results(spark, d)), pairs(spark, d).withColumnRenamed("conf_key", "out_key")).fillna(0, ["rank"])
+
+
+_WORDS = "SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS key FROM {0}"
+
+
+@query(
+    "dictionary_tags",
+    f"WITH c AS ({_WORDS.format('documents')}), b AS (SELECT key, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS key FROM benchmark) GROUP BY key), e AS ({_WORDS.format('conversations')}) SELECT key, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.key = c.key AND n >= 3) OR regexp_full_match(key, '[a-z]+') AND EXISTS (SELECT 1 FROM e WHERE e.key = c.key) THEN 'HIGH' ELSE 'LOW' END AS tag FROM c",
+)
+def dictionary_tags(spark, d):
+    words = lambda n: table(spark, d, n).select(F.explode(F.split(F.lower("text"), " ", -1)).alias("key"))
+    frequent = words("benchmark").groupBy("key").count().where("count >= 3").select("key")
+    return ranking.tag(words("documents").distinct(), frequent, words("conversations"))
+
+
+@query("decisions", "SELECT p_partkey AS key, CASE WHEN p_size < 10 THEN 'drop' WHEN p_size < 30 THEN 'keep' ELSE 'review' END AS decision FROM part")
+def decisions(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("key"), "p_size")
+    return ranking.decide(p.select("key"), p.where("p_size < 10"), p.where("p_size < 30"), "review")
+
+
+# manifests
+
+
+@query(
+    "manifest_union",
+    "SELECT source_set, status, count(*) AS n FROM (SELECT 'orders' AS source_set, o_orderstatus AS status FROM orders UNION ALL SELECT 'lines', l_linestatus FROM lineitem UNION ALL SELECT 'parts', NULL FROM part) GROUP BY ALL",
+)
+def manifest_union(spark, d):
+    parts = {
+        "orders": table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")),
+        "lines": table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linestatus").alias("status")),
+        "parts": table(spark, d, "part").select(F.col("p_partkey").alias("id")),
+    }
+    return manifest.merge(parts).groupBy("source_set", "status").agg(F.count("*").alias("n"))
+
+
+@query(
+    "asr_gate",
+    "SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'skipped' WHEN value < 10 THEN 'error' ELSE 'transcribe' END AS action FROM events",
+)
+def asr_gate(spark, d):
+    e = table(spark, d, "events")
+    status = F.when(F.col("event_type") == "click", "generated").when(F.col("event_type") == "view", "cached").otherwise("pending")
+    e = e.select("event_id", status.alias("status"), F.when(F.col("value") >= 10, "x").alias("audio_path"))
+    return e.select("event_id", manifest.gate().alias("action"))
+
+
+_SPECS = [("plain", 1.0), ("fast", 1.1), ("slow", 0.9)]
+
+
+@query(
+    "job_expansion",
+    f"SELECT p_partkey, name, factor, substr(sha256(p_partkey::VARCHAR || chr(31) || name), 1, 16) AS job_id FROM part, ({sql_values(_SPECS)}) v(name, factor)",
+)
+def job_expansion(spark, d):
+    specs = values(spark, _SPECS, "name string, factor double")
+    return manifest.expand(table(spark, d, "part").select("p_partkey"), specs, ["p_partkey", "name"])
+
+
+@query("incremental_todo", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) GROUP BY o_custkey")
+def incremental_todo(spark, d):
+    done = table(spark, d, "lineitem").where("l_quantity > 45").select(t.stable_id(F.col("l_orderkey")).alias("job_id"))
+    jobs = table(spark, d, "orders").withColumn("job_id", t.stable_id(F.col("o_orderkey")))
+    return manifest.todo(jobs, done).groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+# segments: seconds of events as frames of a user's track
+
+_VAD = """WITH f AS (SELECT DISTINCT user_id, floor(epoch(ts))::BIGINT AS s FROM events WHERE value >= 20),
+g AS (SELECT *, CASE WHEN s - (lag(s) OVER (PARTITION BY user_id ORDER BY s) + 1) < 3600 THEN 0 ELSE 1 END AS fresh FROM f),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s) AS island FROM g)"""
+
+
+@query("vad_sessions", _VAD + " SELECT user_id, island::BIGINT AS island, min(s) AS \"start\", max(s) + 1 AS \"end\", count(*) AS frames FROM i GROUP BY user_id, island")
+def vad_sessions(spark, d):
+    frames = table(spark, d, "events").where("value >= 20").select("user_id", F.unix_timestamp("ts").alias("start")).distinct().withColumn("end", F.col("start") + 1)
+    return segments.islands(frames, "user_id", "start", "end", 3600)
+
+
+@query(
+    "merge_ranges",
+    """WITH r AS (SELECT l_suppkey, epoch(l_shipdate)::BIGINT // 86400 AS s, epoch(l_shipdate)::BIGINT // 86400 + l_quantity::BIGINT AS e FROM lineitem),
+g AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 2 THEN 0 ELSE 1 END AS fresh FROM r),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM g)
+SELECT l_suppkey, island::BIGINT AS island, min(s) AS "start", max(e) AS "end", count(*) AS parts FROM i GROUP BY l_suppkey, island""",
+)
+def merge_ranges(spark, d):
+    day = F.floor(F.unix_timestamp("l_shipdate") / 86400)
+    r = table(spark, d, "lineitem").select("l_suppkey", day.alias("start"), (day + F.col("l_quantity").cast("long")).alias("end"))
+    return segments.merge(r, "l_suppkey", 2)
+
+
+# readings and variants
+
+
+@query(
+    "camel_reading",
+    r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p_brand, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g'), '[\s_\-#]+', ' ', 'g')) AS camel,
+trim(regexp_replace(upper(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')), '(.)', '\1 ', 'g')) AS spelled, translate(p_brand, '0123456789', '零一二三四五六七八九') AS digits, translate(p_brand, '0123456789', '零幺二三四五六七八九') AS yao, trim(regexp_replace(p_brand, '[^A-Za-z0-9._-]+', '-', 'g'), '.-') AS safe FROM part""",
+)
+def camel_reading(spark, d):
+    x = F.col("p_brand")
+    return table(spark, d, "part").select("p_partkey", t.camel_split(x).alias("camel"), t.spelled(x).alias("spelled"), t.digits_read(x).alias("digits"), t.digits_read(x, "幺").alias("yao"), t.safe_name(x).alias("safe"))
+
+
+@query("english_readings")
+def english_readings(spark, d):
+    terms = table(spark, d, "supplier").select(F.regexp_replace("s_name", "#0*", "HubX").alias("term")).unionByName(values(spark, [("IdeaHub",), ("ASR",), ("CloudRSE",)], "term string"))
+    return variants.readings(terms)
+
+
+@query("syllable_distance", "SELECT a.p_partkey, levenshtein(lpad(a.p_size::VARCHAR, 2, '0'), lpad(b.p_size::VARCHAR, 2, '0')) AS distance FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def syllable_distance(spark, d):
+    chars = F.filter(F.split(F.lpad(F.col("p_size").cast("string"), 2, "0"), ""), lambda c: c != "")
+    p = table(spark, d, "part").select("p_partkey", chars.alias("s"))
+    q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("s").alias("t"))
+    return p.join(q, "p_partkey").select("p_partkey", ar.edit_distance(F.col("s"), F.col("t")).cast("long").alias("distance"))
+
+
+SYLLABLES = [("志伟", ["zhi4", "wei3"]), ("鹭兴", ["lu4", "xing1"]), ("内嵌", ["nei4", "qian4"]), ("周清", ["zhou1", "qing1"]), ("女", ["nv3"])]
+FUZZY = [("initial", "zh", "z", 1), ("initial", "n", "l", 1), ("initial", "l", "n", 1), ("final", "ing", "in", 1), ("final", "ei", "ui", 2), ("final", "ian", "iang", 3)]
+
+
+@query(
+    "fuzzy_mutations",
+    f"""WITH t(term, s) AS ({sql_values(SYLLABLES)}), r("type", source, target, level) AS ({sql_values(FUZZY)}),
+p AS (SELECT term, s, i - 1 AS i, regexp_extract(s[i], '^(zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])?(.*?)([1-5])?$', 1) AS ini, regexp_extract(s[i], '^(zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])?(.*?)([1-5])?$', 2) AS fin, regexp_extract(s[i], '([1-5])$', 1) AS tone FROM (SELECT term, s, unnest(range(1, len(s) + 1)) AS i FROM t))
+SELECT term, i, level, "type", source, target, array_to_string(list_transform(s, lambda v, k: CASE WHEN k = i + 1 THEN CASE WHEN "type" = 'initial' THEN target || fin || tone ELSE ini || target || tone END ELSE v END), ' ') AS variant
+FROM p JOIN r ON ("type" = 'initial' AND source = ini) OR ("type" = 'final' AND source = fin)""",
+)
+def fuzzy_mutations(spark, d):
+    rules = values(spark, FUZZY, "type string, source string, target string, level int")
+    made = variants.fuzzy_mutations(values(spark, SYLLABLES, "term string, syllables array<string>"), rules)
+    return made.withColumn("variant", F.array_join("variant", " "))
+
+
+LEXICON = [("露西", ["lu4", "xi1"], 10), ("路行", ["lu4", "xin1"], 30), ("陆新", ["lu4", "xin1"], 20), ("子维", ["zi4", "wei3"], 5), ("自卫", ["zi4", "wei4"], 50)]
+
+
+@query("carrier_topn")
+def carrier_topn(spark, d):
+    rules = values(spark, FUZZY, "type string, source string, target string, level int")
+    made = variants.fuzzy_mutations(values(spark, SYLLABLES, "term string, syllables array<string>"), rules)
+    return variants.carriers(made, values(spark, LEXICON, "word string, syllables array<string>, weight int"), 2).withColumn("variant", F.array_join("variant", " "))
+
+
+PHONES = [("idea", ["AY0", "D", "IY1", "AH0"]), ("hub", ["HH", "AH1", "B"]), ("box", ["B", "AA1", "K", "S"]), ("cloud", ["K", "L", "AW1", "D"])]
+
+
+@query("phone_rules")
+def phone_rules(spark, d):
+    made = variants.english_variants(values(spark, PHONES, "word string, phones array<string>"))
+    return made.withColumn("variant", variants.serialized(F.col("variant")))
+
+
+@query("pinyin_rules")
+def pinyin_rules(spark, d):
+    made = variants.pinyin_variants(values(spark, SYLLABLES, "term string, syllables array<string>"))
+    return made.withColumn("variant", F.array_join("variant", " "))
+
+
+# arrays as sample vectors
+
+
+@query(
+    "pcm_stats",
+    "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 6) AS rms, round(list_sum(list_transform(embedding, lambda x: greatest(-0.05, least(0.05, x::DOUBLE)) / 0.05)), 5) AS clipped FROM embeddings",
+)
+def pcm_stats(spark, d):
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, d, "embeddings").select(
+        "vec_id", F.round(audio.energy(x), 6).alias("rms"), F.round(F.aggregate(audio.hard_clip(F.col("embedding"), 0.05), F.lit(0.0), lambda a, v: a + v), 5).alias("clipped")
+    )
+
+
+@query("first_wins", "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1")
+def first_wins(spark, d):
+    return first_by(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), ["l_orderkey"], "l_linenumber")
