@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RESULT = T.StructType.fromDDL(
-    "sample_id string, expected_text string, audio_path string, pronunciation_rule string, variant_kind string, confusion_category string, "
-    "engine string, voice string, augmentation string, asr struct<status: string, text: string>"
-)
+_TEXT = ("sample_id", "expected_text", "audio_path", "pronunciation_rule", "variant_kind", "confusion_category", "engine", "voice", "augmentation")
+_ASR = T.StructType([T.StructField("status", T.StringType()), T.StructField("text", T.StringType())])
+RESULT = T.StructType([*(T.StructField(n, T.StringType()) for n in _TEXT), T.StructField("asr", _ASR)])
 
 
 def read_records(spark: SparkSession, paths: str | list[str], schema: T.StructType, torn: bool = False) -> DataFrame:
