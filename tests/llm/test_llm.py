@@ -171,8 +171,14 @@ def test_best_fit_equals_best_fit_over_pieces():
                 bins.append(50)
                 fit = len(bins) - 1
             bins[fit] -= n
-        planned = max(first + -(-min(n for n in [per]) // per) for _, _, first, per, _ in slots)
-        assert len(bins) <= planned + 200 and planned >= -(-sum(lengths) // 50)
+        used: Counter = Counter()
+        ranges = sorted(slots)
+        for k, (n, rank, first, per, _) in enumerate(ranges):
+            end = ranges[k + 1][1] if k + 1 < len(ranges) and ranges[k + 1][0] == n else lengths.count(n)
+            for i in range(end - rank):
+                used[first + i // per] += n
+        assert sum(used.values()) == sum(lengths) and max(used.values()) <= 50
+        assert sorted(used.values()) == sorted(50 - room for room in bins)
 
 
 def graded(n, grades, seed=0):
