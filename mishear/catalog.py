@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mishear.functions import arrays as ar
 from mishear.functions import text as t
-from mishear.operators import audio, classify, evaluate, manifest, ranking, segments, variants
+from mishear.operators import audio, classify, evaluate, manifest, ranking, segments, syllables, variants
 from mishear.operators.keys import compatible, first_by
 from mishear.sources.glossary import parse_terms
 
@@ -359,6 +359,17 @@ def camel_reading(spark, d):
     return table(spark, d, "part").select("p_partkey", t.camel_split(x).alias("camel"), t.spelled(x).alias("spelled"), t.digits_read(x).alias("digits"), t.digits_read(x, "幺").alias("yao"), t.safe_name(x).alias("safe"))
 
 
+@query(
+    "number_readings",
+    f"""WITH v AS (SELECT p_partkey, n, ltrim(n, '0') AS v FROM (SELECT p_partkey, (p_partkey * 7919)::VARCHAR AS n FROM part)),
+r AS (SELECT p_partkey, v, array_to_string(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN v[i] = '0' THEN '0' ELSE translate(v[i], '{t.DIGITS}', '{t.READ}') || ({list(t.UNITS)})[len(v) - i + 1] END), '') AS named FROM v)
+SELECT p_partkey, 'no. ' || CASE WHEN v = '' THEN '零' WHEN len(v) > 8 THEN translate(v, '{t.DIGITS}', '{t.READ}') ELSE regexp_replace(regexp_replace(regexp_replace(named, '0+$', ''), '0+', '零', 'g'), '^一十', '十') END || ' b' AS reading FROM r""",
+)
+def number_readings(spark, d):
+    x = F.concat(F.lit("no."), (F.col("p_partkey") * 7919).cast("string"), F.lit("b"))
+    return table(spark, d, "part").select("p_partkey", t.digit_runs_read(x, t.cardinal).alias("reading"))
+
+
 @query("english_readings")
 def english_readings(spark, d):
     terms = table(spark, d, "supplier").select(F.regexp_replace("s_name", "#0*", "HubX").alias("term")).unionByName(values(spark, [("IdeaHub",), ("ASR",), ("CloudRSE",)], "term string"))
@@ -390,6 +401,22 @@ def fuzzy_mutations(spark, d):
     return made.withColumn("variant", F.array_join("variant", " "))
 
 
+def _readings_of_pairs(spark) -> DataFrame:
+    known = values(spark, READINGS, "text string, syllables array<string>")
+    named = lambda text, syllables: known.select(F.col("text").alias(text), F.col("syllables").alias(syllables))
+    return values(spark, PAIRS, "term string, confusion string").join(named("term", "source"), "term").join(named("confusion", "target"), "confusion")
+
+
+@query("syllable_deltas")
+def syllable_deltas(spark, d):
+    return syllables.deltas(_readings_of_pairs(spark)).withColumns({c: F.array_join(c, " ") for c in ("source", "target")})
+
+
+@query("target_mutations")
+def target_mutations(spark, d):
+    return syllables.target_mutations(_readings_of_pairs(spark)).withColumn("variant", F.array_join("variant", " "))
+
+
 LEXICON = [("露西", ["lu4", "xi1"], 10), ("路行", ["lu4", "xin1"], 30), ("陆新", ["lu4", "xin1"], 20), ("子维", ["zi4", "wei3"], 5), ("自卫", ["zi4", "wei4"], 50)]
 
 
@@ -403,6 +430,18 @@ def carrier_topn(spark, d):
 PHONES = [("idea", ["AY0", "D", "IY1", "AH0"]), ("hub", ["HH", "AH1", "B"]), ("box", ["B", "AA1", "K", "S"]), ("cloud", ["K", "L", "AW1", "D"])]
 
 
+LETTERS = {"A": ["EY1"], "R": ["AA1", "R"], "S": ["EH1", "S"], "E": ["IY1"], "I": ["AY1"], "B": ["B", "IY1"]}
+NUMBERS = {"0": ["Z", "IH1", "R", "OW0"], "1": ["W", "AH1", "N"], "2": ["T", "UW1"]}
+
+
+@query("phone_resolution")
+def phone_resolution(spark, d):
+    tokens = values(spark, [("Idea",), ("hub",), ("ASR",), ("2",), ("box",), ("zzyx",)], "token string")
+    entries = values(spark, [(w, i, p) for i, (w, p) in enumerate(PHONES)], "token string, seq int, phones array<string>")
+    own = values(spark, [("BOX", ["B", "AO1", "K", "S"])], "token string, phones array<string>")
+    return syllables.resolve_phones(tokens, own, entries, LETTERS, NUMBERS).withColumn("phones", F.array_join("phones", " "))
+
+
 @query("phone_rules")
 def phone_rules(spark, d):
     made = variants.english_variants(values(spark, PHONES, "word string, phones array<string>"))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\s\p{Z}\x{85}\x1c-\x1f]"
 HAN = r"\x{3400}-\x{9fff}"
-#: Readings of digits.
+#: Readings of digits, and units of places.
 DIGITS, READ, YAO = "0123456789", "零一二三四五六七八九", "零幺二三四五六七八九"
+UNITS = ("", "十", "百", "千", "万", "十", "百", "千")
 NUMERALS = r"^(\d+|[零〇一二三四五六七八九十百千万两幺]+)$"
 
 
@@ -86,6 +87,26 @@ def digits_read(x: Column, one: str = "一") -> Column:
     return F.translate(x, DIGITS, READ if one == "一" else YAO)
 
 
+def cardinal(x: Column) -> Column:
+    """The number that a run of digits names; one of nine digits or more is read digit by digit.
+
+    The fifth place bears the ten thousands' unit alone, so 100000 reads as its ten.
+    """
+    v = F.regexp_replace(x, "^0+", "")
+    n = F.length(v)
+    places = F.filter(F.split(v, ""), lambda c: c != "")
+    unit = lambda i: F.get(F.array(*map(F.lit, UNITS)), n - i - 1)
+    named = F.transform(places, lambda c, i: F.when(c == "0", c).otherwise(F.concat(F.translate(c, DIGITS, READ), unit(i))))
+    whole = F.regexp_replace(F.regexp_replace(F.array_join(named, ""), "0+$", ""), "0+", READ[0])
+    return F.when(v == "", READ[0]).when(n > 8, digits_read(x)).otherwise(F.regexp_replace(whole, "^一十", "十"))
+
+
+def digit_runs_read(x: Column, reading) -> Column:
+    """Each run of digits by ``reading``, set off by spaces."""
+    runs = F.transform(F.regexp_extract_all(x, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1)), lambda r: F.when(r.rlike("^[0-9]"), reading(r)).otherwise(r))
+    return F.trim(F.regexp_replace(F.array_join(runs, " "), f"{SPACE}+", " "))
+
+
 def number_skeleton(x: Column) -> Column:
     """Numeral runs as #; other marks are dropped but end a run."""
     tokens = F.regexp_extract_all(normalized(x), F.lit(rf"([a-z]+|\d+|[{HAN}]|.)"), F.lit(1))

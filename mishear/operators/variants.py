@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mishear.functions import text as t
 from mishear.functions.arrays import replaced, without
 from mishear.operators.keys import first_by, top
+from mishear.operators.syllables import character_words, reading_key
 
 # Devoicing at the end of a word, and consonants that are taken for each other.
 DEVOICED = {"B": "P", "D": "T", "G": "K", "V": "F", "Z": "S", "JH": "CH", "DH": "TH"}
@@ -103,12 +104,17 @@ def fuzzy_mutations(df: DataFrame, rules: DataFrame, key: str = "term", syllable
 
 
 def carriers(mutations: DataFrame, lexicon: DataFrame, n: int, key: str = "term") -> DataFrame:
-    """The best lexicon words for each mutation by toneless syllables: one score a text, then by score and text."""
-    plain = lambda c: F.array_join(F.transform(c, t.toneless), " ")
-    m = mutations.withColumn("plain", plain(F.col("variant")))
-    words = lexicon.withColumn("plain", plain(F.col("syllables"))).join(m.select("plain").distinct(), "plain", "left_semi")
-    words = words.groupBy("plain", "word").agg(F.max("weight").alias("score"))
-    return top(m.join(words, "plain").where(F.col("word") != F.col(key)), [key, "i", "rule_id"] if "rule_id" in m.columns else [key, "i", "type", "source", "target"], n, F.desc("score"), "word")
+    """The best lexicon words that are read as each mutation, tones included: one score a text, then by score and text.
+
+    A mutation with fewer than ``n`` words also gets one put together of single characters, after the others.
+    """
+    group = [key, "i", "rule_id"] if "rule_id" in mutations.columns else [key, "i", "type", "source", "target"]
+    m = mutations.withColumn("_r", reading_key(F.col("variant")))
+    words = lexicon.withColumn("_r", reading_key(F.col("syllables"))).groupBy("_r", "word").agg(F.max("weight").alias("score"))
+    built = character_words(mutations, lexicon).withColumn("_r", reading_key(F.col("variant"))).select("_r", "word", "score")
+    every = words.withColumn("last", F.lit(0)).unionByName(built.withColumn("last", F.lit(1)))
+    every = first_by(every, ["_r", "word"], "last")
+    return top(m.join(every, "_r").where(F.col("word") != F.col(key)), group, n, "last", F.desc("score"), "word").drop("last", "_r")
 
 
 def readings(df: DataFrame, term: str = "term", cap: int = 6) -> DataFrame:

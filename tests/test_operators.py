@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from mishear import catalog
 from mishear.functions import arrays, text
-from mishear.operators import audio, classify, evaluate, keys, manifest, ranking, segments, variants
+from mishear.operators import audio, classify, evaluate, keys, manifest, ranking, segments, syllables, variants
 from mishear.sources import glossary, records
 
 SMALL = "/root/testdata/sf0.001"
@@ -101,6 +101,65 @@ def test_variants(spark):
     assert {("IdeaHub", x) for x in ("Idea Hub", "I D E A H U B", "I D E A Hub", "Idea H U B")} <= readings and ("ASR", "A S R") in readings
 
 
+def read_cardinal(digits):  # the state machine over places
+    if int(digits) == 0:
+        return "零"
+    if int(digits) >= 10**8:
+        return "".join("零一二三四五六七八九"[int(c)] for c in digits)
+    out, pending, places = [], False, str(int(digits))
+    for k, c in enumerate(places):
+        if c == "0":
+            pending = True
+        else:
+            out += ["零"] * pending + ["零一二三四五六七八九"[int(c)], ["", "十", "百", "千", "万", "十", "百", "千"][len(places) - k - 1]]
+            pending = False
+    said = "".join(out)
+    return said[1:] if said.startswith("一十") else said
+
+
+def test_cardinals(spark):
+    numbers = ["0", "000", "7", "10", "12", "100", "105", "1010", "10010", "100000", "120034", "99999999", "100000000", "007"]
+    df = spark.createDataFrame([(n,) for n in [*numbers, None]], "x string")
+    got = {r.x: r.y for r in df.select("x", text.cardinal(F.col("x")).alias("y")).collect()}
+    assert got == {n: read_cardinal(n) for n in numbers} | {None: None}
+    assert one(spark, text.digit_runs_read(F.lit("TR12  v3"), text.cardinal)) == "TR 十二 v 三"
+    assert one(spark, text.digit_runs_read(F.lit(""), text.cardinal)) == ""
+
+
+PAIRS = [
+    ("周清", ["zhou1", "qing1"], ["zhou1", "xing1"]), ("志伟", ["zhi4", "wei3"], ["shi4", "wei4"]), ("a", ["lu4"], ["lu4", "xi1"]),
+    ("b", ["lu4", "xi1"], ["xi1"]), ("c", ["lu4"], ["lu3"]), ("d", ["ma1", "li4"], ["ba1", "lu4"]), ("e", ["ma1"], ["bi2"]), ("f", None, ["bi2"]), ("g", [], []),
+]
+
+
+def test_syllable_edits(spark):
+    pairs = spark.createDataFrame(PAIRS, "term string, source array<string>, target array<string>")
+    got = {r.term: (r.type, r["index"], r.source_syllable, r.target_syllable) for r in syllables.deltas(pairs).collect()}
+    assert got == {
+        "周清": ("initial_change", 1, "qing1", "xing1"), "志伟": ("initial_change", 0, "zhi4", "shi4"), "a": ("syllable_insertion", 1, None, "xi1"),
+        "b": ("syllable_deletion", 0, "lu4", None), "e": ("syllable_substitution", 0, "ma1", "bi2"),
+    }
+    made = {r.term: (r.source, r.target, r.variant) for r in syllables.target_mutations(pairs).collect()}
+    assert made == {"周清": ("q", "x", ["zhou1", "xing1"]), "志伟": ("zh", "sh", ["shi4", "wei3"]), "a": ("", "xi", ["lu4", "xi1"]), "b": ("lu", "", ["xi1"])}
+
+
+def test_carriers_agree_in_tone_and_fall_back_to_characters(spark):
+    mutations = spark.createDataFrame([("t", 0, "initial", "n", "l", ["lu4", "xi1"]), ("t", 1, "initial", "n", "l", ["ma1", "li4"])], "term string, i int, type string, source string, target string, variant array<string>")
+    lexicon = [("露西", ["lu4", "xi1"], 10), ("陆西", ["lu4", "xi1"], 5), ("鲁西", ["lu3", "xi1"], 99), ("路", ["lu4"], 7), ("西", ["xi1"], 9), ("妈", ["ma1"], 3), ("路西", ["lu4", "xi2"], 1)]
+    words = spark.createDataFrame(lexicon, "word string, syllables array<string>, weight int")
+    got = sorted((r.i, r["rank"], r.word, r.score) for r in variants.carriers(mutations, words, 3).collect())
+    assert got == [(0, 1, "露西", 10), (0, 2, "陆西", 5)]  # 路西 is read otherwise, and no character is read li4
+    built = syllables.character_words(mutations, words.where("word <> '路西'")).collect()
+    assert [(r.word, r.score) for r in built] == [("路西", 7)]
+    assert variants.carriers(mutations, words.where("word <> '路西'"), 2).count() == 2
+
+
+def test_phones_by_source(spark):
+    got = {r.token: (r.phones, r.source) for r in catalog.QUERIES["phone_resolution"](spark, SMALL).collect()}
+    assert got["ASR"] == ("EY1 EH1 S AA1 R", "acronym") and got["box"] == ("B AO1 K S", "override") and got["zzyx"] == (None, "unresolved")
+    assert got["Idea"] == ("AY0 D IY1 AH0", "dictionary") and got["2"] == ("T UW1", "digit")
+
+
 def test_audio(spark):
     tone = audio.quantized(0.2 * np.sin(2 * np.pi * 440 * np.arange(1600) / 16000))
     df = spark.createDataFrame([("a", bytearray(tone)), ("b", None)], "sample_id string, pcm binary")
