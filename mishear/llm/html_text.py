@@ -10,8 +10,11 @@ block-level tags. Then, page by page:
    differ in heading or list tags only share their siblings' container.
 4. Threshold: paths at or above a share of the spread of ratios are content.
 
-Blocks inside elements that name themselves as something else (nav, footer,
-form, class "ad" or "comments", ...) never count. The text is what the
+Blocks inside elements that are something else by tag, role or a hidden state
+(nav, footer, form, ...) never count. A class or id (``ad``, ``comments``) is
+only a prior: blocks inside such an element count if an ``article`` or ``main``
+in it is the page's own, or if a path in it has a far higher ratio than all
+paths outside. The text is what the
 containers of content paths hold: the page's ``article`` or ``main`` if it has
 one with text, else the deepest element that holds most of the content.
 
@@ -65,18 +68,23 @@ OTHER_WORDS = set(
     "subscription taboola toolbar topbar warning widget widgets alert".split()
 )
 OTHER_ROLES = set("navigation banner complementary contentinfo search form menu menubar toolbar dialog alert alertdialog".split())
+#: Words that a class or id may add to one of these and still mean the same.
+PLAIN_WORDS = set("area bar block box button buttons icons item items link links list posts".split())
 MAIN_WORDS = set("articlebody article-body entry-content post-content story-body".split())
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<cut>/?[a-zA-Z][^<>]*)\Z", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+HOLDS_BLOCKS = re.compile(r"<(?:p|div|article|main|section|h[1-6]|ul|ol|table)[\s>/]", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Weights of a block and its neighbours, and the share of the ratios' spread that content reaches.
 SMOOTHING, SHARE = (0.25, 0.5, 0.25), 0.5
 #: A path with more of its text in links, and fewer marks a block, is a list of links.
 LINK_SHARE = 0.6
+#: A path inside a named element counts if its ratio is this many times the best outside, and at least so much.
+PRIOR, LEAST_RATIO = 4.0, 100.0
 
 
 @dataclass
@@ -87,6 +95,9 @@ class Element:
     main: bool
     path: tuple[str, ...]
     depth: int
+    #: The nearest element, from here up, that is something else by its name; an article or main inside one stands for itself.
+    mark: "Element | None" = None
+    named: bool = False
 
 
 @dataclass
@@ -102,24 +113,35 @@ def attributes(rest: str) -> dict[str, str]:
     return {n.lower(): html.unescape(a or b or c or "") for n, a, b, c in ATTRIBUTE.findall(rest)}
 
 
-def is_other(name: str, rest: str, parent: Element) -> tuple[bool, bool]:
-    """Whether an element says that it is no part of the article, and whether it says that it is the article."""
+def named_other(label: str) -> bool:
+    """Whether a whole class or id token, not just a part of it, names something else."""
+    for token in label.split():
+        words = {w.lower() for w in WORDS.findall(token)}
+        if words & OTHER_WORDS and words <= OTHER_WORDS | PLAIN_WORDS:
+            return True
+    return False
+
+
+def is_other(name: str, rest: str, parent: Element) -> tuple[bool, bool, bool]:
+    """Whether an element says that it is no part of the article, that it is the article, and whether its class or id names something else."""
+    named = False
     main = name in ("article", "main")
     other = name in OTHER_TAGS or name == "header" and not _within_article(parent)
     if rest and not rest.isspace():
         own = attributes(rest)
         if "class" in own or "id" in own:
             label = f"{own.get('class', '')} {own.get('id', '')}"
-            words = {w.lower() for w in WORDS.findall(label)}
-            if name not in ("html", "body", "article", "main") and words & OTHER_WORDS:
-                other = True
-            main = main or bool(MAIN_WORDS & set(label.lower().split()))
+            if name in ("article", "main"):  # only asked inside a named element: any part of a name will do
+                named = any(w.lower() in OTHER_WORDS for w in WORDS.findall(label))
+            else:
+                named = name not in ("html", "body") and named_other(label)
+                main = not named and bool(MAIN_WORDS & set(label.lower().split()))
         role = own.get("role", "").lower()
         other = other or role in OTHER_ROLES
         main = main or role == "main" or own.get("itemprop", "").lower() == "articlebody"
         style = own.get("style", "").replace(" ", "").lower()
         other = other or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in style
-    return other, main and not other
+    return other, main and not other, named
 
 
 def _within_article(element: Element | None) -> bool:
@@ -131,7 +153,7 @@ def _within_article(element: Element | None) -> bool:
 
 
 def scan(page: str) -> list[Block]:
-    """Text blocks in page order, without those in elements that are something else."""
+    """Text blocks in page order, without those in elements that are something else by more than a name."""
     root = Element("", None, False, False, (), 0)
     here, blocks, parts, links, in_link = root, [], [], 0, 0
     lower = ""
@@ -190,13 +212,15 @@ def scan(page: str) -> list[Block]:
                     break
                 found = found.parent
             if name != "hr" and not match["rest"].endswith("/"):
-                other, main = is_other(name, match["rest"], here)
-                here = Element(name, here, here.other or other, main, (*here.path, name), here.depth + 1)
+                other, main, named = is_other(name, match["rest"], here)
+                outer, here = here.mark, Element(name, here, here.other or other, main, (*here.path, name), here.depth + 1, named=named)
+                here.mark = here if (outer is not None if name in ("article", "main") else named or main and outer is not None) else outer
         elif name not in VOID and match["rest"]:
-            other, _ = is_other(name, match["rest"], here)
-            if other:  # an inline element that is hidden or an advert: skip to its end
+            other, _, named = is_other(name, match["rest"], here)
+            if other or named:  # an inline element that is hidden or an advert: skip to its end
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else at
+                if end and (other or not HOLDS_BLOCKS.search(page, at, end.start())):
+                    at = end.end()
     flush()
     return blocks
 
@@ -220,9 +244,43 @@ def ratios(blocks: list[Block]) -> dict[tuple[str, ...], float]:
     return {p: sum(v) / len(v) for p, v in fused.items()}
 
 
+def _main_of(element: Element | None) -> Element | None:
+    while element is not None and not element.main:
+        element = element.parent
+    return element
+
+
+def without_named(blocks: list[Block]) -> list[Block]:
+    """Drops blocks inside named elements, but for those that an article or their ratio speaks for."""
+    plain = [b for b in blocks if b.element.mark is None]
+    if len(plain) == len(blocks):
+        return blocks
+    best = max(ratios(plain).values(), default=0.0)
+    mains = {id(m): m for b in plain if (m := _main_of(b.element)) is not None}
+    groups: defaultdict[int, list[Block]] = defaultdict(list)
+    for b in blocks:
+        if b.element.mark is not None:
+            groups[id(b.element.mark)].append(b)
+    kept = {id(None)}
+    for key, group in groups.items():
+        mark, around = group[0].element.mark, set()
+        element = mark
+        while element is not None:
+            around.add(id(element))
+            element = element.parent
+        own = max(ratios(group).values())
+        if mark.main and not mark.named and mains.keys() <= around:  # no article beside it
+            least = SHARE * best
+        else:
+            least = max(LEAST_RATIO, PRIOR * best)
+        if own >= least:
+            kept.add(key)
+    return [b for b in blocks if id(b.element.mark) in kept]
+
+
 def content(page: str | None) -> list[str]:
     """The blocks of the main text."""
-    blocks = scan(page or "")
+    blocks = without_named(scan(page or ""))
     if not blocks:
         return []
     fused = ratios(blocks)
