@@ -41,7 +41,7 @@ from mishear.llm._arrow import slices
 
 # Element names by their role, and words of class, id and role attributes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
+RAW = set("script style textarea title noscript iframe noembed noframes xmp template svg".split())
 BLOCK = set(
     "html body head address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr caption ul".split()
@@ -60,7 +60,7 @@ ENDS_BEFORE = {
 } | {h: HEADINGS for h in HEADINGS}
 #: Where the search for an element to end stops.
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"td", "th", "table", "article", "section", "div", "body"}}
-OTHER_TAGS = set("nav footer aside form button select option dialog menu head script style noscript template iframe object canvas svg math".split())
+OTHER_TAGS = set("nav footer aside form button select option dialog menu head script style noscript template iframe object canvas svg".split())
 OTHER_WORDS = set(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
     "footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup "
@@ -81,7 +81,7 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Weights of a block and its neighbours, and the share of the ratios' spread that content reaches.
 SMOOTHING, SHARE = (0.25, 0.5, 0.25), 0.5
-#: A path with more of its text in links, and fewer marks a block, is a list of links.
+#: Outside articles, a list, table or bare block with more of its text in links is a list of links.
 LINK_SHARE = 0.6
 #: A path inside a named element counts if its ratio is this many times the best outside, and at least so much.
 PRIOR, LEAST_RATIO = 4.0, 100.0
@@ -198,7 +198,7 @@ def scan(page: str) -> list[Block]:
             end = lower.find(f"</{name}", at)
             at = len(page) if end < 0 else page.find(">", end) + 1 or len(page)
             continue
-        if name == "br":
+        if name in ("br", "math", "annotation"):
             parts.append(" ")
         elif name == "a":
             in_link = 1
@@ -307,19 +307,18 @@ def content(page: str | None) -> list[str]:
         if deep.name in HEADINGS | {"p", "li", "td", "th", "dd", "dt", "pre", "blockquote"} and deep.parent is not None and len(blocks) > 1:
             deep = deep.parent
         kept = {id(deep)}
-    linked: defaultdict[int, list[int]] = defaultdict(lambda: [0, 0, 0])
+    linked: defaultdict[int, list[int]] = defaultdict(lambda: [0, 0])
     for b in blocks:  # by list or table, else by block
         own = linked[id(_list_of(b))]
         own[0] += b.links
         own[1] += len(b.text)
-        own[2] += b.marks
     out = []
     for b in blocks:
         element = b.element
         while element is not None and id(element) not in kept:
             element = element.parent
-        links, size, marks = linked[id(_list_of(b))]
-        if element is not None and (links <= LINK_SHARE * size or marks * 40 > size and b.element.name == "p"):
+        links, size = linked[id(_list_of(b))]
+        if element is not None and (element.main or b.element.name in HEADINGS or b.element.name == "p" or links <= LINK_SHARE * size):
             out.append(b.text)
     return out
 

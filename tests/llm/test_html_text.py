@@ -16,3 +16,11 @@ def test_named_boilerplate_stays_out():
         assert content(page) == [LONG]
     assert content(f'<article><p>{LONG}</p><div class="share-buttons">Share, now.</div><div class="ad">Buy, now.</div></article>') == [LONG]
     assert content('<div class="ad">Buy, now.</div>') == [] and content("<aside><article><p>x</p></article></aside>") == []
+
+
+def test_links_and_formulas_of_an_article_stay():
+    sources = "<ul><li><a href=/1>First source</a><li><a href=/2>Second source</a></ul><table><tr><td><a href=/3>Cell</a></table>"
+    page = f"<h2><a href=#x>Setup</a></h2><p>{LONG}</p><p><a href=/r>Read the full report</a></p>{sources}<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p>"
+    whole = ["Setup", LONG, "Read the full report", "First source", "Second source", "Cell", "Let x=1."]
+    assert content(f"<article>{page}</article>") == whole
+    assert {"Setup", LONG, "Read the full report", "Let x=1."} <= set(content(f"<body><div>{page}</div></body>"))
