@@ -6,17 +6,20 @@ block-level tags. Then, page by page:
 1. Aggregate: per path, text length, link text length, punctuation and blocks;
    the ratio of a path is mean length times mean punctuation of its blocks.
 2. Smooth: along the page, a block's ratio is averaged with its neighbours'.
-3. Fuse: a path takes the mean of its blocks' smoothed ratios, and paths that
-   differ in heading or list tags only share their siblings' container.
+3. Fuse: a path takes the mean of its blocks' smoothed ratios.
 4. Threshold: paths at or above a share of the spread of ratios are content.
+5. Containers: content paths only pick elements, and the text is all that
+   these hold, blocks below the threshold included. If the page has ``article``
+   or ``main`` elements with text, they are the outermost of these that hold a
+   content path, and those of the same path (all, if none holds one). Else they
+   are the deepest element with most of the content and those of its path that
+   hold a content path which it holds too.
 
 Blocks inside elements that are something else by tag, role or a hidden state
 (nav, footer, form, ...) never count. A class or id (``ad``, ``comments``) is
 only a prior: blocks inside such an element count if an ``article`` or ``main``
 in it is the page's own, or if a path in it has a far higher ratio than all
-paths outside. The text is what the
-containers of content paths hold: the page's ``article`` or ``main`` if it has
-one with text, else the deepest element that holds most of the content.
+paths outside.
 
 Defined cases: a null or empty page, or one with no text, gives an empty text;
 damaged markup is read as browsers do as far as block structure goes (omitted
@@ -244,6 +247,38 @@ def ratios(blocks: list[Block]) -> dict[tuple[str, ...], float]:
     return {p: sum(v) / len(v) for p, v in fused.items()}
 
 
+def _outer_main(element: Element | None) -> Element | None:
+    """The outermost element around a block that says it is the article."""
+    found = None
+    while element is not None:
+        found = element if element.main else found
+        element = element.parent
+    return found
+
+
+def _at_path(element: Element | None, path: tuple[str, ...]) -> Element | None:
+    while element is not None and element.path != path:
+        element = element.parent
+    return element
+
+
+def _deepest(chosen: list[Block], n_blocks: int) -> Element:
+    """The deepest element that holds most of the text of ``chosen``."""
+    weight: defaultdict[int, int] = defaultdict(int)
+    holders: dict[int, Element] = {}
+    for b in chosen:
+        element = b.element
+        while element is not None:
+            holders[id(element)] = element
+            weight[id(element)] += len(b.text)
+            element = element.parent
+    total = sum(len(b.text) for b in chosen)
+    deep = max((e for e in holders.values() if weight[id(e)] >= 0.75 * total), key=lambda e: e.depth)
+    if deep.name in HEADINGS | {"p", "li", "td", "th", "dd", "dt", "pre", "blockquote"} and deep.parent is not None and n_blocks > 1:
+        deep = deep.parent
+    return deep
+
+
 def _main_of(element: Element | None) -> Element | None:
     while element is not None and not element.main:
         element = element.parent
@@ -286,27 +321,17 @@ def content(page: str | None) -> list[str]:
     fused = ratios(blocks)
     mean = sum(b.ratio for b in blocks) / len(blocks)
     spread = (sum((b.ratio - mean) ** 2 for b in blocks) / len(blocks)) ** 0.5
-    chosen = [b for b in blocks if fused[b.element.path] >= min(SHARE * spread, max(fused.values()))]
-    # containers: the elements that say they are the article, or that hold most of the content
-    weight: defaultdict[int, float] = defaultdict(float)
-    holders: dict[int, Element] = {}
-    for b in chosen:
-        element = b.element
-        while element is not None:
-            holders[id(element)] = element
-            weight[id(element)] += len(b.text)
-            element = element.parent
-    said = [e for e in holders.values() if e.main]
-    if said:
-        outer = [e for e in said if not _within_article(e.parent)]
-        top = max(weight[id(e)] for e in outer)
-        kept = {id(e) for e in outer if weight[id(e)] >= 0.5 * top}
+    least = min(SHARE * spread, max(fused.values()))
+    chosen = [b for b in blocks if fused[b.element.path] >= least]
+    said = [m for b in blocks if (m := _outer_main(b.element)) is not None]
+    if said:  # those that hold content, and their siblings of the same path; all if none does
+        paths = {m.path for b in chosen if (m := _outer_main(b.element)) is not None}
+        kept = {id(m) for m in said if m.path in paths or not paths}
     else:
-        total = sum(len(b.text) for b in chosen)
-        deep = max((e for e in holders.values() if weight[id(e)] >= 0.75 * total), key=lambda e: e.depth)
-        if deep.name in HEADINGS | {"p", "li", "td", "th", "dd", "dt", "pre", "blockquote"} and deep.parent is not None and len(blocks) > 1:
-            deep = deep.parent
-        kept = {id(deep)}
+        deep = _deepest(chosen, len(blocks))
+        held = [(b, e) for b in chosen if (e := _at_path(b.element, deep.path)) is not None]
+        paths = {b.element.path for b, e in held if e is deep}
+        kept = {id(deep)} | {id(e) for b, e in held if b.element.path in paths}
     linked: defaultdict[int, list[int]] = defaultdict(lambda: [0, 0])
     for b in blocks:  # by list or table, else by block
         own = linked[id(_list_of(b))]

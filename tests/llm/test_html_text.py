@@ -24,3 +24,10 @@ def test_links_and_formulas_of_an_article_stay():
     whole = ["Setup", LONG, "Read the full report", "First source", "Second source", "Cell", "Let x=1."]
     assert content(f"<article>{page}</article>") == whole
     assert {"Setup", LONG, "Read the full report", "Let x=1."} <= set(content(f"<body><div>{page}</div></body>"))
+
+
+def test_every_article_and_sibling_of_the_content_stays():
+    two = f"<{{0}}><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></{{0}}><{{0}}><h2>More</h2><p>A short one, in brief.</p></{{0}}>"
+    whole = ["Head", *[LONG] * 4, "More", "A short one, in brief."]
+    assert content(two.format("article")) == whole
+    assert content(f'<body><div>Home, here</div>{two.format("div")}</body>') == whole
