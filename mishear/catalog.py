@@ -71,7 +71,7 @@ SELECT conv_id, turn, {norm_sql('before')} = {norm_sql('text')} AS exact_match,
 def compare_text(spark, d):
     from pyspark.sql import Window
 
-    c = table(spark, d, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before IS NOT NULL")
+    c = compatible(table(spark, d, "conversations").select("conv_id", "turn", "text"), "text").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before IS NOT NULL")
     c = c.withColumn("c", t.compare(F.col("before"), F.col("text")))
     return c.select("conv_id", "turn", "c.exact_match", "c.compact_match")
 
@@ -79,7 +79,7 @@ def compare_text(spark, d):
 @query("compact_match", f"WITH k AS (SELECT doc_id, {compact_sql('text')} AS k FROM documents) SELECT k.doc_id, n AS same FROM k JOIN (SELECT k, count(*) AS n FROM k GROUP BY k HAVING count(*) > 1) USING (k)")
 def compact_match(spark, d):
     """Documents whose compact key others share: a count for each key joins back, pairs are never listed."""
-    keys = table(spark, d, "documents").select("doc_id", F.xxhash64(t.compact_key(F.col("text"))).alias("k"))
+    keys = compatible(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.xxhash64(t.compact_key(F.col("text"))).alias("k"))
     return keys.join(keys.groupBy("k").agg(F.count("*").alias("same")).where("same > 1"), "k").select("doc_id", "same")
 
 

@@ -2,7 +2,8 @@
 
 ``casefold`` is lower case with sharp s spelled out, which is what case folding
 does to Latin script. Compatibility forms (NFKC) are a separate step,
-:func:`mishear.operators.keys.compatible`, since only few strings need it.
+:func:`mishear.operators.keys.compatible`, since only few strings need it; what
+is keyed passes through it first.
 """
 
 from __future__ import annotations

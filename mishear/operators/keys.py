@@ -25,6 +25,13 @@ def compatible(df: DataFrame, column: str) -> DataFrame:
     return df.join(forms, df[column] == forms["_from"], "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
 
 
+def compatible_as(df: DataFrame, **columns: str) -> DataFrame:
+    """Adds columns with the NFKC forms of others: new name = old name."""
+    for new, old in columns.items():
+        df = compatible(df.withColumn(new, F.col(old)), new)
+    return df
+
+
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key; unlike dropDuplicates, in a stated order."""
     w = Window.partitionBy(*keys).orderBy(*order)

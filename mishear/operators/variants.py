@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mishear.functions import text as t
 from mishear.functions.arrays import replaced, without
-from mishear.operators.keys import first_by, top
+from mishear.operators.keys import compatible, first_by, top
 from mishear.operators.syllables import character_words, reading_key
 
 # Devoicing at the end of a word, and consonants that are taken for each other.
@@ -139,6 +139,6 @@ def readings(df: DataFrame, term: str = "term", cap: int = 6) -> DataFrame:
 
 def without_leaks(variants: DataFrame, targets: DataFrame, term: str, text: str) -> DataFrame:
     """Variants that spell out a known confusion of their term go."""
-    own = targets.select(term, t.normalized(F.col("confusion")).alias("_t"))
-    keyed = variants.withColumn("_t", t.normalized(F.col(text)))
+    own = compatible(targets.select(term, F.col("confusion").alias("_t")), "_t").withColumn("_t", t.normalized(F.col("_t")))
+    keyed = compatible(variants.withColumn("_t", F.col(text)), "_t").withColumn("_t", t.normalized(F.col("_t")))
     return keyed.join(own, [term, "_t"], "left_anti").drop("_t")

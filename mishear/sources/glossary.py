@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mishear.functions.text import spacing_key
-from mishear.operators.keys import first_by
+from mishear.operators.keys import compatible, compatible_as, first_by
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -24,13 +24,13 @@ def parse_terms(rows: DataFrame, merge: bool = True) -> DataFrame:
     kept = rows.where(~F.trim("line").startswith("#") & (F.trim("line") != ""))
     fields = F.transform(F.split("line", r"\|", -1), lambda x: F.trim(x))
     kept = kept.select("seq", F.get(fields, F.lit(0)).alias("canonical"), F.slice(fields, 2, 10_000).alias("rest"))
-    kept = kept.withColumn("term_key", spacing_key(F.col("canonical"))).where("term_key <> ''")
+    kept = compatible_as(kept, term_key="canonical").withColumn("term_key", spacing_key(F.col("term_key"))).where("term_key <> ''")
     group = ["term_key"] if merge else ["term_key", "seq"]
     entries = kept.groupBy(*group).agg(
         F.min_by("canonical", "seq").alias("canonical"), F.min("seq").alias("first_seq"), F.array_sort(F.collect_list("seq")).alias("lines")
     )
     pairs = kept.select(*group, F.col("seq").alias("at"), F.posexplode("rest").alias("pos", "confusion"))
-    pairs = pairs.withColumn("conf_key", spacing_key(F.col("confusion"))).where("conf_key <> '' AND conf_key <> term_key")
+    pairs = compatible_as(pairs, conf_key="confusion").withColumn("conf_key", spacing_key(F.col("conf_key"))).where("conf_key <> '' AND conf_key <> term_key")
     pairs = first_by(pairs, [*group, "conf_key"], "at", "pos")
     lists = pairs.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("at", "pos", "confusion"))).alias("c"))
     out = entries.join(lists, group, "left")
@@ -56,13 +56,15 @@ def fuzzy_rules(spark: SparkSession, path: str) -> DataFrame:
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Distinct keys of ``word``, ``word<TAB>n`` or ``word n`` lines."""
     rows = spark.read.text(path).where("trim(value) <> '' AND NOT startswith(trim(value), '#')")
-    return rows.select(spacing_key(F.regexp_extract("value", r"^\s*(.*?)(?:[\t ]+\d+)?\s*$", 1)).alias("key")).where("key <> ''").distinct()
+    words = compatible(rows.select(F.regexp_extract("value", r"^\s*(.*?)(?:[\t ]+\d+)?\s*$", 1).alias("key")), "key")
+    return words.select(spacing_key(F.col("key")).alias("key")).where("key <> ''").distinct()
 
 
 def weighted_dictionary(spark: SparkSession, path: str, least: int = 5000) -> DataFrame:
     parts = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).select(F.get(parts, F.lit(0)).alias("word"), F.size(parts).alias("n"), F.element_at(parts, -1).alias("weight"))
-    return rows.where(F.col("n") >= 3).where(F.col("weight").rlike(r"^\d+$")).where(F.col("weight").cast("long") >= least).select(spacing_key(F.col("word")).alias("key")).distinct()
+    words = rows.where(F.col("n") >= 3).where(F.col("weight").rlike(r"^\d+$")).where(F.col("weight").cast("long") >= least)
+    return compatible(words.select(F.col("word").alias("key")), "key").select(spacing_key(F.col("key")).alias("key")).distinct()
 
 
 def character_frequencies(spark: SparkSession, path: str) -> DataFrame:

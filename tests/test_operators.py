@@ -189,3 +189,22 @@ def test_gate_and_todo(spark):
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_queries_run(spark, name):
     assert catalog.QUERIES[name](spark, SMALL).columns
+
+
+def test_keys_see_through_compatibility_forms(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "u", "ＩｄｅａＨｕｂ"), (1, 2, "u", "IdeaHub"), (1, 3, "u", "ﬁx-1")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "ＩｄｅａＨｕｂ"), (2, "Idea Hub!"), (3, "ﬁx"), (4, "fix")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Ｂｏｘ", "ＡＢ", "t"), (2, "Box", "ab", "ｔ")], "p_partkey long, p_brand string, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {(r.turn, r.exact_match, r.compact_match) for r in run("compare_text")} == {(2, True, True), (3, False, False)}
+    assert {(r.doc_id, r.same) for r in run("compact_match")} == {(1, 2), (2, 2), (3, 2), (4, 2)}
+    assert [(r.term_key, r.canonical, r.n_lines, r.confusions) for r in run("gt_parse_merge")] == [("box", "Ｂｏｘ", 2, "ＡＢ|t")]
+    pairs = spark.createDataFrame([("ＩｄｅａＨｕｂ", "Idea Hub"), ("ＴＲ６", "TR六")], "canonical string, confusion string")
+    assert {r.canonical: r.category for r in classify.classify(pairs).collect()} == {"ＩｄｅａＨｕｂ": "normalization_alias", "ＴＲ６": "number_reading_mixed"}
+    (tmp_path / "words.txt").write_text("Ｂｏｘ 12\nbox\n", "utf-8")
+    (tmp_path / "weighted.txt").write_text("Ｂｏｘ b 9000\n", "utf-8")
+    assert [r.key for r in glossary.dictionary(spark, f"{tmp_path}/words.txt").collect()] == ["box"]
+    assert [r.key for r in glossary.weighted_dictionary(spark, f"{tmp_path}/weighted.txt").collect()] == ["box"]
+    made = spark.createDataFrame([("a", "Ｐｏｘ"), ("a", "Fox")], "term string, text string")
+    targets = spark.createDataFrame([("a", "pox")], "term string, confusion string")
+    assert [r.text for r in variants.without_leaks(made, targets, "term", "text").collect()] == ["Fox"]
