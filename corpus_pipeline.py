@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mishear.llm import ngram_join, packing, quality_classifier, quality_rules, suffix_dedup
-from mishear.llm._cluster import shared_folder
+from mishear.llm._cluster import checkpointed, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,9 +31,21 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of linked ones."""
-    kept = ngram_join.join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps the document with the least id of each group of linked ones, and one row of it.
+
+    Rows of one id are one document where their n-gram sets are equal. Only ids
+    of several rows are looked at for that; equal rows meet after each task kept one.
+    """
+    found = checkpointed(ngram_join.join(docs).select("doc_id", "digest", (F.col("doc_id") == F.col("class_id")).alias("kept")))
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.max("kept").alias("kept")).where("kept")
+    several = ids.where("n_rows > 1").select("doc_id")
+    once = docs.join(ids.where("n_rows = 1"), "doc_id", "left_semi").select(*COLUMNS)
+    if several.isEmpty():
+        return once
+    kept = found.where("kept").join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct()
+    rows = ngram_join.digested(docs.join(several, "doc_id", "left_semi").select(*COLUMNS))
+    least = rows.groupBy("doc_id", "digest").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    return once.unionByName(least.join(kept, ["doc_id", "digest"], "left_semi").select("doc_id", "row.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mishear.llm._arrow import list_array, slices
 from mishear.llm._cluster import checkpointed
@@ -160,6 +161,21 @@ def digests_of(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(at, at[1:])]
 
 
+def digested(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataFrame:
+    """Adds ``digest``, that of the n-gram set of each row."""
+    rows = docs.withColumn(text, F.col(text).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in slices(batch, text):
+                digests = digests_of(*grams(part.column(text), n))
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, part.num_rows).columns, pa.array(digests, pa.binary())], names=[*batch.schema.names, "digest"])
+                at += part.num_rows
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("digest", T.BinaryType())]))
+
+
 def _least_by(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys and ids sorted, and the least id of each key."""
     order = np.lexsort((ids, keys))
@@ -309,7 +325,7 @@ def verify(n: int, threshold: float):
 
 
 def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, copy_id, n_links, n_grams) of each row."""
+    """(doc_id, class_id, copy_id, n_links, n_grams, digest) of each row; digest: of its n-gram set."""
     spark = docs.sparkSession
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands, rows = banding(threshold, recall)
@@ -350,8 +366,9 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int
         F.col("id").alias("copy_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         "n_grams",
+        "digest",
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("digest")

@@ -308,3 +308,17 @@ def test_pipeline_stages_act_on_what_is_left(spark):
     assert sorted(r.doc_id for r in near.collect()) == sorted({ids[v[0]] for v in brute_links(texts).values()})
     packed = pipeline.run(spark, sf)
     assert packed.count() > 0 and packed.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").count() == 0
+
+
+def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "un deux trois quatre cinq six")
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b), (4, c), (5, c + " sept"), (5, a), (5, a), (6, ""), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = pipeline.drop_near_copies(spark, docs, "")
+    assert near.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in near.collect()) == [(1, a), (3, b), (4, c), (5, c + " sept"), (6, "")]
+    twice = pipeline.drop_near_copies(spark, docs.unionByName(docs), "")
+    assert twice.count() == 5
+    single = pipeline.drop_near_copies(spark, docs.where("doc_id in (2, 4)"), "")
+    assert sorted(r.doc_id for r in single.collect()) == [2, 4]
