@@ -8,9 +8,10 @@ media from other columns.
 
 Both work row by row on Arrow batches, so memory is bounded by the largest
 file. Defined cases: a null or empty file, or one that is no TIFF, gives one
-row with page -1, no samples and the reason in ``error``; a damaged page gives
-a row with its number and the reason, and pages before it stay; repeated rows
-are read each; an empty table gives no rows; other columns are ignored.
+row with page -1, no samples and the reason in ``error``; a page that is damaged
+or not of a kind that is read gives a row with its number and the reason, and
+the pages before and after it stay, as far as the chain of directories can be
+followed; samples of 1, 2 and 4 bits take a byte each; repeated rows are read each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +32,12 @@ from mishear.llm._arrow import slices
 #: Tags, sizes of field types and compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS = 256, 257, 258, 259, 262, 273
 SAMPLES, ROWS_PER_STRIP, STRIP_SIZES, PLANAR, PREDICTOR = 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES = 322, 323, 324, 325
+TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES, FILL_ORDER = 322, 323, 324, 325, 266
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 NO_COMPRESSION, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+#: What a page that cannot be read raises.
+UNREADABLE = (ValueError, KeyError, IndexError, TypeError, ArithmeticError, struct.error, zlib.error)
 PAGE_SCHEMA = "media_id long, page int, width int, height int, samples int, bits int, compression int, predictor int, pixels binary, error string"
 
 #: Pixels of a row and rows of a page and a strip that the writer makes of bytes; 64 RGB pixels are 192 bytes.
@@ -174,8 +178,14 @@ class Page:
     error: str | None = None
 
 
-def directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]], int]:
-    """Integer fields of the image directory at ``at``, and where the next one is."""
+def following(data: bytes, at: int, order: str) -> int:
+    """Where the directory after that at ``at`` is."""
+    (n,) = struct.unpack_from(f"{order}H", data, at)
+    return struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
+
+
+def directory(data: bytes, at: int, order: str) -> dict[int, list[int]]:
+    """Integer fields of the image directory at ``at``."""
     (n,) = struct.unpack_from(f"{order}H", data, at)
     found: dict[int, list[int]] = {}
     for i in range(n):
@@ -185,16 +195,22 @@ def directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]], i
         letter = {1: "B", 3: "H", 4: "I"}.get(kind)
         if letter:
             found[tag] = list(struct.unpack_from(f"{order}{count}{letter}", data, place))
-    return found, struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
+    return found
+
+
+def spread_bits(raw: bytes, bits: int, rows: int, row_samples: int) -> np.ndarray:
+    """Samples of less than a byte, a byte each; rows begin at whole bytes."""
+    every = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, : row_samples * bits]
+    return np.packbits(every.reshape(rows, row_samples, bits), axis=2)[..., 0] >> np.uint8(8 - bits)
 
 
 def read_page(data: bytes, tags: dict[int, list[int]], order: str, number: int) -> Page:
     one = lambda tag, default: tags.get(tag, [default])[0]
     width, height, samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
     bits, compression, predictor, planar = one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
-    if bits not in (8, 16) or len(set(tags.get(BITS, [bits]))) > 1:
+    if bits not in (1, 2, 4, 8, 16) or len(set(tags.get(BITS, [bits]))) > 1:
         raise ValueError(f"{bits}-bit samples are not read")
-    kind = np.dtype(np.uint8) if bits == 8 else np.dtype(np.uint16).newbyteorder(order)
+    kind = np.dtype(np.uint8) if bits <= 8 else np.dtype(np.uint16).newbyteorder(order)
     tiled = TILE_OFFSETS in tags
     block_w, block_h = (one(TILE_WIDTH, width), one(TILE_HEIGHT, height)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets, sizes = tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_SIZES if tiled else STRIP_SIZES]
@@ -205,15 +221,17 @@ def read_page(data: bytes, tags: dict[int, list[int]], order: str, number: int)
         plane, rest = divmod(k, across * down)
         y, x = rest // across * block_h, rest % across * block_w
         rows = block_h if tiled else min(block_h, height - y)
-        wanted = rows * block_w * per * kind.itemsize
-        raw = unpack(data[offset : offset + size], compression, wanted)
+        wanted = rows * -(-block_w * per * bits // 8)
+        packed = data[offset : offset + size]
+        raw = unpack(packed.translate(REVERSED) if one(FILL_ORDER, 1) == 2 else packed, compression, wanted)
         if len(raw) < wanted:
             raise ValueError(f"block {k} has {len(raw)} of {wanted} bytes")
-        block = np.frombuffer(raw[:wanted], kind).reshape(rows, block_w, per)
-        if predictor == 2:
+        block = np.frombuffer(raw[:wanted], kind) if bits >= 8 else spread_bits(raw[:wanted], bits, rows, block_w * per)
+        block = block.reshape(rows, block_w, per)
+        if predictor == 2 and bits >= 8:
             block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
         elif predictor != 1:
-            raise ValueError(f"predictor {predictor} is not read")
+            raise ValueError(f"predictor {predictor} of {bits}-bit samples is not read")
         part = image[y : y + rows, x : x + block_w, plane if planar == 2 else slice(None)]
         part[...] = block[: part.shape[0], : part.shape[1], 0 if planar == 2 else slice(None)]
     return Page(number, width, height, samples, bits, compression, predictor, image.tobytes())
@@ -233,10 +251,18 @@ def read(data: bytes | None) -> Iterator[Page]:
             if at in seen:
                 raise ValueError("directories form a ring")
             seen.add(at)
-            tags, at = directory(data, at, order)
-            yield read_page(data, tags, order, number)
-    except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as e:
-        yield Page(number, error=f"{type(e).__name__}: {e}"[:200])
+            here, at = at, following(data, at, order)
+            try:
+                page = read_page(data, directory(data, here, order), order, number)
+            except UNREADABLE as e:
+                page = failed(number, e)
+            yield page
+    except UNREADABLE as e:
+        yield failed(number, e)
+
+
+def failed(number: int, e: Exception) -> Page:
+    return Page(number, error=f"{type(e).__name__}: {e}"[:200])
 
 
 def write(payload: bytes, row_pixels: int = ROW_PIXELS, samples: int = 3, page_rows: int = PAGE_ROWS, strip_rows: int = STRIP_ROWS, level: int = 1) -> bytes:
@@ -276,7 +302,10 @@ def features(pages: list[Page]) -> str:
         return ""
     out = []
     for p in pages:
-        image = np.frombuffer(p.pixels, np.uint8 if p.bits == 8 else np.uint16).reshape(p.height, p.width, p.samples).astype(np.int64)
+        if p.error is not None:
+            out.append("")
+            continue
+        image = np.frombuffer(p.pixels, np.uint8 if p.bits <= 8 else np.uint16).reshape(p.height, p.width, p.samples).astype(np.int64)
         n = max(1, p.height * p.width)
         sums, squares = image.sum(axis=(0, 1)), (image * image).sum(axis=(0, 1))
         spread = (n * squares - sums * sums) // (n * n)
