@@ -17,6 +17,8 @@ from mishear.llm._arrow import list_array, slices
 #: Buckets of the hash, a power of two.
 BUCKETS = 1 << 18
 WORD, SHAPE, PAIR, AGAIN = 1, 2, 3, 4  # seeds: kinds of features
+#: Characters of a shape that are hashed together.
+WINDOW = 12
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~«»„“”¡¿…"
 
 
@@ -26,7 +28,13 @@ def bucket(text: str, kind: int) -> int:
 
 
 class Tokens:
-    """White-space-separated tokens of some texts, as buckets: of the bare lower-case word and of the shape."""
+    """White-space-separated tokens of some texts, as buckets: of the bare lower-case word and of the shape.
+
+    A token with a shape longer than a window is one entry for each window in a row, so that all of it is seen.
+    """
+
+    #: Whether an entry's token repeats the one before it, if that is not told by ``index``.
+    again: np.ndarray | None = None
 
     def __init__(self, texts: pa.Array):
         parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
@@ -43,9 +51,28 @@ class Tokens:
         shape = own
         for pattern, mark in ((r"\p{Lu}{2,}", "XX"), (r"\p{Lu}", "X"), (r"[\p{Ll}\p{Lo}\p{Lm}]+", "x"), (r"\p{N}+", "9")):
             shape = pc.replace_substring_regex(shape, pattern, mark)
-        shape = pc.utf8_slice_codeunits(shape, 0, 12).dictionary_encode()
-        self.word = self._buckets(bare, WORD)[self.index]
-        self.shape = self._buckets(shape, SHAPE)[self.index]
+        long = np.flatnonzero(pc.greater(pc.utf8_length(shape), WINDOW).to_numpy(zero_copy_only=False))
+        rest = [[s[i : i + WINDOW] for i in range(0, len(s), WINDOW)] for s in shape.take(pa.array(long)).to_pylist()]
+        shapes = self._buckets(pc.utf8_slice_codeunits(shape, 0, WINDOW).dictionary_encode(), SHAPE)
+        words = self._buckets(bare, WORD)
+        if not len(long):
+            self.word, self.shape = words[self.index], shapes[self.index]
+            return
+        counts = np.ones(len(own), np.int64)
+        counts[long] = [len(w) for w in rest]
+        first = np.append(0, np.cumsum(counts))  # entries by distinct token
+        entries = np.repeat(shapes, counts)
+        for k, windows in zip(long, rest):
+            entries[first[k] : first[k + 1]] = [bucket(w, SHAPE) for w in windows]
+        each = counts[self.index]
+        ends = np.append(0, np.cumsum(each))
+        within = np.arange(ends[-1]) - np.repeat(ends[:-1], each)
+        token = np.repeat(self.index, each)
+        self.shape, self.word = entries[first[token] + within], words[token]
+        again = np.zeros(len(self.index), bool)
+        again[1:] = self.index[1:] == self.index[:-1]
+        self.again = np.repeat(again, each)
+        self.offsets, self.index = ends[offsets], token
 
     @staticmethod
     def _buckets(coded: pa.DictionaryArray, kind: int) -> np.ndarray:
@@ -68,7 +95,8 @@ class Tokens:
         again = np.zeros(len(self.index), np.int64)
         if len(mixed) > 1:
             mixed[1:] = (self.shape[:-1].astype(np.int64) * 31 + self.shape[1:] * 17 + PAIR) & (BUCKETS - 1)
-            again[1:] = np.where(self.index[1:] == self.index[:-1], bucket("again", AGAIN), bucket("other", AGAIN))
+            repeats = self.index[1:] == self.index[:-1] if self.again is None else self.again[1:]
+            again[1:] = np.where(repeats, bucket("again", AGAIN), bucket("other", AGAIN))
         alone = ~self.follows()
         mixed[alone] = again[alone] = bucket("first", AGAIN)
         return mixed, again

@@ -322,3 +322,20 @@ def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark):
     assert twice.count() == 5
     single = pipeline.drop_near_copies(spark, docs.where("doc_id in (2, 4)"), "")
     assert sorted(r.doc_id for r in single.collect()) == [2, 4]
+
+
+def test_all_of_a_long_token_is_hashed():
+    from mishear.llm import _hashed
+
+    shape = lambda *texts: _hashed.Tokens(pa.array(list(texts)))
+    a, b = "a.b;" * 20 + "x=1", "a.b;" * 20 + "X=$"
+    one, other = shape(a), shape(b)
+    assert len(one.shape) == 7 and one.shape[:6].tolist() == other.shape[:6].tolist() and one.shape[6] != other.shape[6]
+    features = [dict(zip(*quality_classifier.frequencies(pa.array([x]))[1:])) for x in (a, b)]
+    assert features[0] != features[1]
+    mixed, short = shape("be " + a + " " + a + " it", "", "to be"), shape("be it", "to be")
+    assert mixed.offsets.tolist() == [0, 16, 16, 18] and np.diff(mixed.rows()).tolist() == [0] * 15 + [2, 0]
+    assert (mixed.shape[0], mixed.word[0], mixed.word[15]) == (short.shape[0], short.word[0], short.word[1])
+    again = mixed.pairs()[1]
+    assert again[8] == again[14] != again[1] == again[7] == again[15]
+    assert short.again is None and short.shape.tolist() == mixed.shape[[0, 15, 16, 17]].tolist()
