@@ -2,14 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text that is worked on at once; a longer text is worked on alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+
+
+def give_back() -> None:
+    """Returns memory that is free in this worker to the system, for the JVM and other workers beside it."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run``, a function over batches or of tables, after which a worker keeps no free memory.
+
+    Workers serve one stage after the other; what one stage took would else count against the next.
+    """
+
+    @functools.wraps(run)
+    def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    @functools.wraps(run)
+    def of_table(table: pa.Table) -> pa.Table:
+        give_back()
+        return run(table)
+
+    @functools.wraps(run)
+    def of_tables(table: pa.Table, other: pa.Table) -> pa.Table:
+        give_back()
+        return run(table, other)
+
+    if "Table" not in str(run.__annotations__.get("return")):
+        return over_batches
+    return of_table if run.__code__.co_argcount == 1 else of_tables
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

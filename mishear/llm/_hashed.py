@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mishear.llm._arrow import list_array, slices
+from mishear.llm._arrow import list_array, slices, tidy
 
 #: Buckets of the hash, a power of two.
 BUCKETS = 1 << 18
@@ -22,7 +22,7 @@ WINDOW = 12
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~«»„“”¡¿…"
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=100_000)
 def bucket(text: str, kind: int) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), kind) & (BUCKETS - 1)
 
@@ -146,6 +146,7 @@ def gathered(rows: DataFrame, columns: list[str], features) -> tuple[dict[str, n
     ``features`` gives (row, bucket, value) of the texts of a slice, sorted by row.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

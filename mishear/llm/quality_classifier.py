@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mishear.llm._arrow import slices
+from mishear.llm._arrow import slices, tidy
 from mishear.llm._hashed import BUCKETS, Rows, Tokens, gathered, sample, sigmoid
 
 #: Labelled rows to fit on at most; rows that a feature needs; steps, their size, and the weight of the penalty.
@@ -114,6 +114,7 @@ def score(docs: DataFrame, model: Ordinal, wanted: int = WANTED, chance: float =
     rows = docs.drop(*outputs).withColumn("text", F.col("text").cast("string"))
     sent = spark.sparkContext.broadcast((model.weights, model.thresholds, model.grades))  # BUCKETS floats
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Ordinal(*sent.value)
         for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mishear.llm._arrow import slices
+from mishear.llm._arrow import slices, tidy
 from mishear.llm._hashed import BUCKETS, Rows, Tokens, gathered, sample, sigmoid
 
 #: Labelled rows to fit on at most; rows that a feature needs; steps and folds; the penalty on weights.
@@ -130,6 +130,7 @@ def score(docs: DataFrame, links: list[Link], names: list[str], chance: float =
     sent = docs.sparkSession.sparkContext.broadcast(links)  # BUCKETS floats a link
     columns = [f"p_{n}" for n in names] + list(names)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
