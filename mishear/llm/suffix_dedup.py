@@ -10,9 +10,9 @@ string in it with the least hash (leftmost on ties). Equal windows elect the
 same anchor at the same place, so only suffixes at anchors, one in about 35,
 have to meet, and of these only those whose anchor occurs elsewhere:
 
-1. Documents are dealt to chunks by a hash of their id; this is the one time that texts
-   are shuffled. A chunk sends the distinct hashes of its anchors; the answer
-   is which of them other chunks have too.
+1. Documents are dealt to chunks by a hash of their id and text, a chunk to each
+   partition; this is the one time that texts are shuffled. A chunk sends the
+   distinct hashes of its anchors; the answer is which of them other chunks have too.
 2. A chunk resolves repeats among its own windows. Of the rest it sends, for
    each anchor that other chunks have, the suffix at the anchor and the reversed
    prefix before it, as far as its windows reach, in sorted and front-coded runs.
@@ -20,7 +20,9 @@ have to meet, and of these only those whose anchor occurs elsewhere:
    behind the prefix already known to be common. The order and the common
    prefix lengths say which windows are equal: those whose suffixes agree on
    100 - r bytes and whose reversed prefixes agree on r. All but the first of
-   equal windows go back to their chunks as ranges.
+   equal windows go back to their chunks as ranges. The parts grow in number with
+   the corpus; where they are more than ``FAN``, runs are merged in levels, each
+   task merging some chunks' runs of one part and splitting the result further.
 4. Chunks remove what the ranges cover.
 
 Hash collisions cost work, never results: windows are compared byte by byte. A
@@ -28,9 +30,12 @@ chunk sends one of equal strings, so a passage copied without end costs one
 record a chunk; an anchor that has over ``HOT`` records with different
 surroundings is dealt out window by window instead, by a hash of the window.
 
-Defined cases: a null text is an empty one; shorter texts than 100 bytes stay
-whole; rows that repeat a doc_id count as one document (equal places are not
-earlier than each other); an empty table gives no rows; further columns stay.
+Defined cases: a null text is an empty one; a null doc_id is the least id
+(-2^63); shorter texts than 100 bytes stay whole; rows that repeat a doc_id count
+as one document (equal places are not earlier than each other), and equal rows
+are worked on once, so that one id, null or not, may hold any share of the rows;
+a very long text is one task's work, at some ten bytes of memory a byte; an empty
+table gives no rows; further columns stay, but for those named like an output.
 """
 
 from __future__ import annotations
@@ -46,14 +51,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mishear.llm._arrow import tidy
+from mishear.llm._cluster import unused
+
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, ANCHOR = 100, 32
 #: Bytes of text in a chunk, and window starts that are hashed at once (a power of two bounds them).
 CHUNK_BYTES, BLOCK_BITS = 12 << 20, 20
+#: Bytes of text for each part of the merge, text that is worth a task of its own, and parts that runs are split into at once.
+PART_BYTES, TASK_BYTES, FAN = 16 << 20, 1 << 20, 1024
+#: The id that a null one counts as.
+NO_ID = -(1 << 63)
 #: Records of one anchor above which its windows are dealt out.
 HOT = 20_000
 WINDOW = LENGTH - ANCHOR + 1  # anchors in a window
-PARTS = "part long, chunk long, kind int, data binary"
+PARTS = "part int, chunk int, kind int, data binary"
 
 
 # packing arrays into one compressed value
@@ -84,14 +96,15 @@ class Chunk:
 
     def __init__(self, table: pa.Table):
         texts = pc.fill_null(table["text"].cast(pa.large_binary()), b"")
-        order = pc.sort_indices(pa.table({"d": table["doc_id"], "t": texts}), sort_keys=[("d", "ascending"), ("t", "ascending")])
+        ids = pc.fill_null(table["doc_id"], NO_ID)
+        order = pc.sort_indices(pa.table({"d": ids, "t": texts}), sort_keys=[("d", "ascending"), ("t", "ascending")])
         self.table = table.take(order)
         self.texts = texts.take(order).combine_chunks()
         if isinstance(self.texts, pa.ChunkedArray):
             self.texts = pa.concat_arrays(self.texts.chunks) if self.texts.num_chunks else pa.array([], pa.large_binary())
         self.data = np.frombuffer(b"".join(self.texts.to_pylist()), np.uint8)
         self.bounds = np.append(0, np.cumsum(pc.binary_length(self.texts).to_numpy(zero_copy_only=False).astype(np.int64)))
-        self.ids = self.table["doc_id"].to_numpy()
+        self.ids = ids.take(order).to_numpy()
 
     def doc(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, places, side="right") - 1
@@ -317,7 +330,8 @@ def ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # the four steps
 
 
-def hashes_of_chunk(parts: int) -> Callable[[pa.Table], pa.Table]:
+def hashes_of_chunk(parts: int, chunk_name: str = "chunk") -> Callable[[pa.Table], pa.Table]:
+    @tidy
     def run(table: pa.Table) -> pa.Table:
         chunk = Chunk(table)
         _, hashes, _, _ = chunk.anchors()
@@ -327,7 +341,7 @@ def hashes_of_chunk(parts: int) -> Callable[[pa.Table], pa.Table]:
         own, counts, part = own[order], counts[order].astype(np.uint32), part[order]
         cuts = np.searchsorted(part, np.arange(parts + 1))
         rows = [(p, packed(own[a:b], counts[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-        return _rows([p for p, _ in rows], int(table["chunk"][0].as_py()), 0, [d for _, d in rows])
+        return _rows([p for p, _ in rows], int(table[chunk_name][0].as_py()), 0, [d for _, d in rows])
 
     return run
 
@@ -336,9 +350,10 @@ def _rows(part: list[int], chunk, kind, data: list[bytes]) -> pa.Table:
     n = len(data)
     chunk = chunk if isinstance(chunk, list) else [chunk] * n
     kind = kind if isinstance(kind, list) else [kind] * n
-    return pa.table({"part": pa.array(part, pa.int64()), "chunk": pa.array(chunk, pa.int64()), "kind": pa.array(kind, pa.int32()), "data": pa.array(data, pa.binary())})
+    return pa.table({"part": pa.array(part, pa.int32()), "chunk": pa.array(chunk, pa.int32()), "kind": pa.array(kind, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
+@tidy
 def answers(table: pa.Table) -> pa.Table:
     """For each chunk, which of its hashes other chunks have too, and which of these are hot."""
     chunks = table["chunk"].to_pylist()
@@ -354,13 +369,14 @@ def answers(table: pa.Table) -> pa.Table:
     return _rows(table["part"].to_pylist(), chunks, 0, data)
 
 
-def runs_of_chunk(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Ranges of repeats within the chunk (kind 0) and sorted runs for each part (kind 1)."""
+def runs_of_chunk(parts: int, levels: list[int], chunk_name: str = "chunk") -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Ranges of repeats within the chunk (kind 0) and sorted runs for each part of the first level (kind 1)."""
 
+    @tidy
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _rows([], 0, 0, [])
-        number = int(table["chunk"][0].as_py())
+        number = int(table[chunk_name][0].as_py())
         chunk = Chunk(table)
         at, hashes, first, last = chunk.anchors()
         replies = [unpacked(d, "<u8", "u1") for d in told["data"].to_pylist()]
@@ -380,7 +396,7 @@ def runs_of_chunk(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             rec = Records(chunk.ids[doc], at[own] - chunk.bounds[doc], at[own] - last[own], at[own] - first[own])
             hit, shift = repeats(rec, sorted_run(right), sorted_run(left))
             gone[at[own][hit] - shift] = True
-        rows: list[tuple[int, int, bytes]] = [(number % parts, 0, packed(*(x.astype(np.int32) for x in ranges(np.flatnonzero(gone)))))]
+        rows: list[tuple[int, int, bytes]] = [(number % levels[0], 0, packed(*ranges(np.flatnonzero(gone))))]
         # what is left of the windows of anchors that others have
         send = np.flatnonzero(is_far)
         if len(send):
@@ -392,73 +408,124 @@ def runs_of_chunk(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             left_at = np.flatnonzero(~gone[:-1])
             f, l = left_at[kept[f]], left_at[kept[l + 1] - 1]
             a, h, hot_one = at[send], hashes[send], is_hot[send]
-            part = (h % np.uint64(parts)).astype(np.int64)
             if hot_one.any():  # one record for each window, dealt by the window's hash
                 many = np.flatnonzero(hot_one)
                 size = (l - f + 1)[many]
                 start = np.repeat(f[many], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 data = chunk.data.tobytes()
-                dealt = np.array([xxhash.xxh64_intdigest(data[s : s + LENGTH]) % parts for s in start.tolist()], np.int64)
+                dealt = np.array([xxhash.xxh64_intdigest(data[s : s + LENGTH]) for s in start.tolist()], np.uint64)
                 one = ~hot_one
-                a, f, l, part = np.append(a[one], np.repeat(a[many], size)), np.append(f[one], start), np.append(l[one], start), np.append(part[one], dealt)
+                a, f, l, h = np.append(a[one], np.repeat(a[many], size)), np.append(f[one], start), np.append(l[one], start), np.append(h[one], dealt)
+            part = digit(h, levels, 0)
             order = np.argsort(part, kind="stable")
-            a, f, l, part = a[order], f[order], l[order], part[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
+            a, f, l, h, part = a[order], f[order], l[order], h[order], part[order]
+            cuts = np.searchsorted(part, np.arange(levels[0] + 1))
             for p, (i, j) in enumerate(zip(cuts, cuts[1:])):
                 if i < j:
-                    rows.append((p, 1, coded_run(chunk, a[i:j], f[i:j], l[i:j])))
+                    doc = chunk.doc(a[i:j])
+                    fields = [chunk.ids[doc], a[i:j] - chunk.bounds[doc], np.full(j - i, number, np.int32), a[i:j], (a - l)[i:j].astype(np.uint8), (a - f)[i:j].astype(np.uint8)]
+                    rows.append((p, 1, coded_run(*strings(chunk, a[i:j], f[i:j], l[i:j]), [*fields, h[i:j] if len(levels) > 1 else h[:0]])))
         return _rows([r[0] for r in rows], number, [r[1] for r in rows], [r[2] for r in rows])
 
     return run
 
 
-def coded_run(chunk: Chunk, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> bytes:
+def split_in(parts: int, fan: int) -> list[int]:
+    """Numbers of at most ``fan`` whose product is ``parts`` or a little more: how runs are split, level by level."""
+    out = []
+    while parts > fan:
+        out.append(fan)
+        parts = -(-parts // fan)
+    return [*out, max(1, parts)]
+
+
+def digit(hashes: np.ndarray, levels: list[int], level: int) -> np.ndarray:
+    """Which part of its level a hash goes to."""
+    return (hashes // np.uint64(int(np.prod(levels[:level], dtype=object))) % np.uint64(levels[level])).astype(np.int64)
+
+
+#: A run's arrays: front-coded suffixes, the order of the reversed prefixes and these front-coded, then by suffix: document,
+#: place in it, chunk, place in that, first and last shift, and hash, if runs are to be split again.
+CODED, FIELDS = ("u1", "u1", "u1", "<u4", "u1", "u1", "u1"), ("<i8", "<i8", "<i4", "<i8", "u1", "u1", "<u8")
+
+
+def coded_run(right: list[bytes], left: list[bytes], fields: list[np.ndarray]) -> bytes:
     """A sorted, front-coded run of suffixes with all that belongs to them, in the order of the suffixes."""
-    right, left = strings(chunk, at, first, last)
     order, prefix = sorted_run(right)
-    coded = front_coded(right, order, prefix)
     left = [left[i] for i in order.tolist()]
-    at, first, last = at[order], first[order], last[order]
     left_order, left_prefix = sorted_run(left)
-    doc = chunk.doc(at)
-    return packed(
-        *coded, left_order.astype(np.uint32), *front_coded(left, left_order, left_prefix), chunk.ids[doc], (at - chunk.bounds[doc]).astype(np.int64), at.astype(np.int32), (at - last).astype(np.uint8), (at - first).astype(np.uint8)
-    )
+    return packed(*front_coded(right, order, prefix), left_order.astype(np.uint32), *front_coded(left, left_order, left_prefix), *(f[order] if len(f) else f for f in fields))
 
 
-RUN_KINDS = ("u1", "u1", "u1", "<u4", "u1", "u1", "u1", "<i8", "<i8", "<i4", "u1", "u1")
+class Runs:
+    """Runs of several chunks, put into one order of suffixes and one of reversed prefixes."""
+
+    def __init__(self, data: list[bytes]):
+        found = [unpacked(d, *CODED, *FIELDS) for d in data]
+        bases = np.cumsum([0, *(len(x[0]) for x in found)])
+        self.rights = [front_decoded(*x[:3]) for x in found]
+        self.lefts = [front_decoded(*x[4:7]) for x in found]  # each in its own order, which is x[3]
+        self.places = np.concatenate([x[3] + b for x, b in zip(found, bases)]).astype(np.int64)
+        self.right = merged([(s, x[0]) for s, x in zip(self.rights, found)])
+        left_order, left_prefix = merged([(s, x[4]) for s, x in zip(self.lefts, found)])
+        self.left = self.places[left_order], left_prefix
+        self.fields = [np.concatenate([x[k] for x in found]) for k in range(len(CODED), len(CODED) + len(FIELDS))]
 
 
+def split_part(levels: list[int], level: int) -> Callable[[pa.Table], pa.Table]:
+    """Merges some chunks' runs of one part and splits the run that they make among the parts of the next level."""
+
+    @tidy
+    def run(table: pa.Table) -> pa.Table:
+        parts, chunks, kinds, data = (table[c].to_pylist() for c in ("part", "chunk", "kind", "data"))
+        fan = levels[level]
+        out = [(p * fan, c, 0, d) for p, c, k, d in zip(parts, chunks, kinds, data) if k == 0]
+        own = [d for d, k in zip(data, kinds) if k == 1]
+        if own:
+            part = next(p for p, k in zip(parts, kinds) if k == 1)
+            runs = Runs(own)
+            rights = [s for run in runs.rights for s in run]
+            lefts = [b""] * len(rights)
+            for i, s in zip(runs.places.tolist(), (s for run in runs.lefts for s in run)):
+                lefts[i] = s
+            order = runs.right[0]
+            to = digit(runs.fields[-1][order], levels, level)
+            for p in np.unique(to).tolist():
+                mine = order[to == p]
+                out.append((part * fan + p, 0, 1, coded_run([rights[i] for i in mine], [lefts[i] for i in mine], [f[mine] for f in runs.fields])))
+        return _rows([o[0] for o in out], [o[1] for o in out], [o[2] for o in out], [o[3] for o in out])
+
+    return run
+
+
+@tidy
 def merge_part(table: pa.Table) -> pa.Table:
     """Combines the runs of all chunks; ranges of repeats for each chunk."""
     chunks, kinds, data = (table[c].to_pylist() for c in ("chunk", "kind", "data"))
     out = [(c, d) for c, k, d in zip(chunks, kinds, data) if k == 0]
-    runs = sorted(((c, d) for c, k, d in zip(chunks, kinds, data) if k == 1), key=lambda x: x[0])
-    if runs:
-        found = [unpacked(d, *RUN_KINDS) for _, d in runs]
-        bases = np.cumsum([0, *(len(x[0]) for x in found)])
-        right = merged([(front_decoded(*x[:3]), x[0]) for x in found])
-        left_order, left_prefix = merged([(front_decoded(*x[4:7]), x[4]) for x in found])
-        left_order = np.concatenate([x[3] + b for x, b in zip(found, bases)]).astype(np.int64)[left_order]
-        doc, place, at, least, most = (np.concatenate([x[k] for x in found]).astype(np.int64) for k in range(7, 12))
-        hit, shift = repeats(Records(doc, place, least, most), right, (left_order, left_prefix))
-        owner = np.searchsorted(bases, hit, side="right") - 1
-        starts = at[hit] - shift
-        for k, (chunk, _) in enumerate(runs):
-            own = starts[owner == k]
-            if len(own):
-                out.append((chunk, packed(*(x.astype(np.int32) for x in ranges(own)))))
+    own = [d for d, k in zip(data, kinds) if k == 1]
+    if own:
+        runs = Runs(own)
+        doc, place, chunk, at, least, most, _ = runs.fields
+        hit, shift = repeats(Records(doc, place, least.astype(np.int64), most.astype(np.int64)), runs.right, runs.left)
+        starts, owner = at[hit] - shift, chunk[hit]
+        order = np.argsort(owner, kind="stable")
+        starts, owner = starts[order], owner[order]
+        cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
+        for a, b in zip(cuts.tolist(), [*cuts.tolist()[1:], len(owner)]):
+            out.append((int(owner[a]), packed(*ranges(starts[a:b]))))
     return _rows([0] * len(out), [c for c, _ in out], 0, [d for _, d in out])
 
 
 def remove(columns: list[str], whole: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Cuts the ranges' windows out of a chunk's documents."""
 
+    @tidy
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         chunk = Chunk(table)
         edge = np.zeros(len(chunk.data) + 1, np.int32)
         for d in told["data"].to_pylist():
-            first, last = unpacked(d, "<i4", "<i4")
+            first, last = unpacked(d, "<i8", "<i8")
             np.add.at(edge, first, 1)
             np.add.at(edge, last + LENGTH, -1)
         gone = np.cumsum(edge[:-1]) > 0
@@ -491,20 +558,39 @@ def remove(columns: list[str], whole: bool) -> Callable[[pa.Table, pa.Table], pa
 def dedup(docs: DataFrame, whole: bool = True) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and kept_sha256; if ``whole``, with the text that is left."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     outputs = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    docs = docs.drop(*outputs, "chunk").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    chunks = max(parts, -(-size // CHUNK_BYTES))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long"))
-    replies = dealt.groupBy("chunk").applyInArrow(hashes_of_chunk(parts), PARTS).groupBy("part").applyInArrow(answers, PARTS)
-    runs = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(runs_of_chunk(parts), PARTS)
-    found = runs.groupBy("part").applyInArrow(merge_part, PARTS)
+    docs = docs.drop(*outputs).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    chunk_name, copies = unused(docs, "chunk", "copies")
+    key = [F.col("doc_id"), F.xxhash64("text").alias("text")]
+    by_row = docs.select(*key, F.octet_length("text").alias("n")).groupBy("doc_id", "text").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    sums = by_row.agg(F.sum("n").alias("n"), F.max("rows").alias("rows")).first()
+    size, repeated = sums["n"] or 0, (sums["rows"] or 0) > 1 and not any(isinstance(f.dataType, T.MapType) for f in docs.schema.fields)
+    if repeated:  # equal rows become one, each task counting its own first
+        docs = docs.groupBy(*docs.columns).agg(F.count("*").alias(copies))
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    chunks, parts = (max(1, tasks, -(-size // n)) for n in (CHUNK_BYTES, PART_BYTES))
+    levels = split_in(parts, FAN)
+    dealt = docs.withColumn(chunk_name, F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    dealt = dealt.repartitionById(chunks, F.col(chunk_name))
+    by_chunk = lambda rows: rows.repartitionById(chunks, F.col("chunk")).groupBy("chunk")
+    replies = dealt.groupBy(chunk_name).applyInArrow(hashes_of_chunk(parts, chunk_name), PARTS)
+    replies = replies.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(answers, PARTS)
+    runs = dealt.groupBy(chunk_name).cogroup(by_chunk(replies)).applyInArrow(runs_of_chunk(parts, levels, chunk_name), PARTS)
+    made = levels[0]
+    for level in range(1, len(levels)):
+        groups = -(-parts // made)  # tasks for each part of this level
+        runs = runs.withColumn("task", (F.col("part") * groups + F.pmod("chunk", F.lit(groups))).cast("int")).repartitionById(made * groups, F.col("task"))
+        runs = runs.groupBy("task").applyInArrow(split_part(levels, level), PARTS)
+        made *= levels[level]
+    found = runs.repartitionById(made, F.col("part")).groupBy("part").applyInArrow(merge_part, PARTS)
     columns = [c for c in docs.columns if whole or c != "text"]
     schema = T.StructType([f for f in docs.schema.fields if f.name in columns])
     for name in outputs:
         schema = schema.add(name, T.StringType() if name == "kept_sha256" else T.LongType())
-    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(remove(columns, whole), schema)
+    out = dealt.groupBy(chunk_name).cogroup(by_chunk(found)).applyInArrow(remove(columns, whole), schema)
+    if repeated:
+        out = out.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(copies)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
