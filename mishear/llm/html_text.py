@@ -1,46 +1,48 @@
 """Main text of web pages by tag-path ratios.
 
 A page is scanned once into text blocks, each under its root-to-leaf path of
-block-level tags. Then, page by page:
-
-1. Aggregate: per path, text length, link text length, punctuation and blocks;
-   the ratio of a path is mean length times mean punctuation of its blocks.
-2. Smooth: along the page, a block's ratio is averaged with its neighbours'.
-3. Fuse: a path takes the mean of its blocks' smoothed ratios.
-4. Threshold: paths at or above a share of the spread of ratios are content.
-5. Containers: content paths only pick elements, and the text is all that
-   these hold, blocks below the threshold included. If the page has ``article``
-   or ``main`` elements with text, they are the outermost of these that hold a
-   content path, and those of the same path (all, if none holds one). Else they
-   are the deepest element with most of the content and those of its path that
-   hold a content path which it holds too.
-
-Blocks inside elements that are something else by tag, role or a hidden state
-(nav, footer, form, ...) never count. A class or id (``ad``, ``comments``) is
-only a prior: blocks inside such an element count if an ``article`` or ``main``
-in it is the page's own, or if a path in it has a far higher ratio than all
-paths outside.
+block-level tags. What the class, id, role and tag of an element say of its part
+in the page is a feature of the path, worth some bits. Then, page by page:
+
+1. Aggregate: per path, text length without links, punctuation and blocks; the
+   ratio of a path is mean length times mean punctuation of its blocks. Text of
+   menus is link text.
+2. Smooth: a block's ratio is averaged with its neighbours' in its container,
+   the nearest element around it that is no paragraph, heading, list or table.
+3. Fuse: a path takes the mean of its blocks' smoothed ratios; then paths inside
+   a root, which holds the content, mostly take the mean ratio of the root's
+   text. So headings, captions and items stay with the paragraphs around them.
+   Roots are the outermost ``article`` and ``main`` elements; in pages without,
+   the deepest element that holds most of the text above the threshold, and
+   those of its path that hold a path above the threshold which it holds too.
+4. Threshold: a path's score is the logarithm of its ratio and the bits of its
+   names. Blocks of all paths within ``SPREAD`` bits of the best are the text.
+   It is a little more than ``article`` is worth: a plain path goes only if its
+   ratio is lower too.
+
+Every pass is linear in the page, damaged markup and deep nesting included.
 
 Defined cases: a null or empty page, or one with no text, gives an empty text;
 damaged markup is read as browsers do as far as block structure goes (omitted
-end tags, unclosed inline tags, a cut-off tail); repeated rows are extracted
-each; an empty table gives no rows; other columns are ignored.
+end tags, unclosed inline tags, a cut-off tail); hidden elements have no text;
+repeated rows are extracted each; a very long page is one task's work; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mishear.llm._arrow import slices
+from mishear.llm._arrow import slices, tidy
 
 # Element names by their role, and words of class, id and role attributes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,55 +63,53 @@ ENDS_BEFORE = {
     "th": {"td", "th", "tr", "tbody", "tfoot"},
     "head": {"body"},
 } | {h: HEADINGS for h in HEADINGS}
-#: Where the search for an element to end stops.
-SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"td", "th", "table", "article", "section", "div", "body"}}
-OTHER_TAGS = set("nav footer aside form button select option dialog menu head script style noscript template iframe object canvas svg".split())
+#: Elements whose text is that of links, of other parts of the page, and not shown at all.
+MENU_TAGS, OTHER_TAGS, UNSEEN_TAGS = {"nav", "menu"}, set("footer aside form button select option dialog".split()), set("head object canvas".split())
+#: Elements that hold a piece of text, no container of several.
+LEAVES = HEADINGS | set("p li ul ol dl dt dd table tbody thead tfoot tr td th caption pre blockquote details summary figcaption figure hgroup".split())
 OTHER_WORDS = set(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
     "footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup "
     "promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription taboola toolbar topbar warning widget widgets alert".split()
 )
-OTHER_ROLES = set("navigation banner complementary contentinfo search form menu menubar toolbar dialog alert alertdialog".split())
+MENU_ROLES = {"navigation", "menu", "menubar", "toolbar"}
+OTHER_ROLES = set("banner complementary contentinfo search form dialog alert alertdialog".split())
 #: Words that a class or id may add to one of these and still mean the same.
 PLAIN_WORDS = set("area bar block box button buttons icons item items link links list posts".split())
 MAIN_WORDS = set("articlebody article-body entry-content post-content story-body".split())
 
-TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<cut>/?[a-zA-Z][^<>]*)\Z", re.S
-)
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*")
+RAW_END = {name: re.compile(rf"</{name}(?![a-zA-Z0-9-])", re.I | re.A) for name in RAW}
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-HOLDS_BLOCKS = re.compile(r"<(?:p|div|article|main|section|h[1-6]|ul|ol|table)[\s>/]", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-#: Weights of a block and its neighbours, and the share of the ratios' spread that content reaches.
-SMOOTHING, SHARE = (0.25, 0.5, 0.25), 0.5
-#: Outside articles, a list, table or bare block with more of its text in links is a list of links.
-LINK_SHARE = 0.6
-#: A path inside a named element counts if its ratio is this many times the best outside, and at least so much.
-PRIOR, LEAST_RATIO = 4.0, 100.0
+#: Weights of a block and its neighbours, and the share that a path in a root takes from the root.
+SMOOTHING, SHARED = (0.25, 0.5, 0.25), 0.9
+#: Bits that an article's path and one of another part of the page are worth, and how far below the best content reaches.
+MAIN_BITS, OTHER_BITS, SPREAD = 1.5, -8.5, 1.51
+#: Share of the text above the threshold that a root holds, and of links in a list that takes nothing from such a root.
+MOST_TEXT, LINK_SHARE = 0.75, 0.6
 
 
-@dataclass
 class Element:
-    name: str
-    parent: "Element | None"
-    other: bool
-    main: bool
-    path: tuple[str, ...]
-    depth: int
-    #: The nearest element, from here up, that is something else by its name; an article or main inside one stands for itself.
-    mark: "Element | None" = None
-    named: bool = False
-
-
-@dataclass
+    """An open block-level element. ``path`` numbers its root-to-leaf path; ``bits`` is what that path's names are worth."""
+
+    __slots__ = ("name", "parent", "path", "depth", "bits", "main", "outer_main", "menu", "unseen")
+
+    def __init__(self, name: str, parent: "Element | None", path: int, bits: float, main: bool, menu: bool, unseen: bool):
+        self.name, self.parent, self.path, self.bits, self.main = name, parent, path, bits, main
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.menu, self.unseen = menu or parent is not None and parent.menu, unseen or parent is not None and parent.unseen
+        self.outer_main = parent.outer_main if parent is not None and parent.outer_main is not None else self if main else None
+
+
 class Block:
-    element: Element
-    text: str
-    links: int
-    marks: int
-    ratio: float = 0.0
+    __slots__ = ("element", "text", "links", "marks")
+
+    def __init__(self, element: Element, text: str, links: int):
+        self.element, self.text, self.links, self.marks = element, text, links, len(PUNCTUATION.findall(text))
 
 
 def attributes(rest: str) -> dict[str, str]:
@@ -125,241 +125,275 @@ def named_other(label: str) -> bool:
     return False
 
 
-def is_other(name: str, rest: str, parent: Element) -> tuple[bool, bool, bool]:
-    """Whether an element says that it is no part of the article, that it is the article, and whether its class or id names something else."""
-    named = False
-    main = name in ("article", "main")
-    other = name in OTHER_TAGS or name == "header" and not _within_article(parent)
+def said(name: str, rest: str, in_main: bool) -> tuple[float, bool, bool, bool]:
+    """What an element says of itself: bits, and whether it is an article, a menu or not shown."""
+    main, menu, unseen = name in ("article", "main"), name in MENU_TAGS, name in UNSEEN_TAGS
+    other = name in OTHER_TAGS or name == "header" and not in_main
     if rest and not rest.isspace():
         own = attributes(rest)
         if "class" in own or "id" in own:
             label = f"{own.get('class', '')} {own.get('id', '')}"
-            if name in ("article", "main"):  # only asked inside a named element: any part of a name will do
-                named = any(w.lower() in OTHER_WORDS for w in WORDS.findall(label))
-            else:
-                named = name not in ("html", "body") and named_other(label)
-                main = not named and bool(MAIN_WORDS & set(label.lower().split()))
+            if main and any(w.lower() in OTHER_WORDS for w in WORDS.findall(label)):  # the article of a comment
+                main, other = False, True
+            elif name not in ("html", "body"):
+                other = other or named_other(label)
+                main = main or not other and bool(MAIN_WORDS & set(label.lower().split()))
         role = own.get("role", "").lower()
-        other = other or role in OTHER_ROLES
+        other, menu = other or role in OTHER_ROLES, menu or role in MENU_ROLES
         main = main or role == "main" or own.get("itemprop", "").lower() == "articlebody"
         style = own.get("style", "").replace(" ", "").lower()
-        other = other or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in style
-    return other, main and not other, named
+        unseen = unseen or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in style
+    main = main and not other
+    return (MAIN_BITS if main and not in_main else 0.0) + (OTHER_BITS if other else 0.0), main, menu, unseen
+
+
+class Scanner:
+    """Reads a page into blocks."""
+
+    def __init__(self, page: str):
+        self.page, self.blocks = page, []
+        self.here = Element("", None, 0, 0.0, False, False, False)
+        self.open: Counter[str] = Counter()
+        self.paths: dict[tuple, int] = {}
+        self.parts: list[str] = []
+        self.links, self.in_link = 0, False
+        self.skip, self.skip_depth, self.skip_all = "", 0, False  # an inline element without text, and whether blocks in it have none
+        self.quotes = True
+
+    def add(self, text: str, coded: bool = True) -> None:
+        if text and not self.skip:
+            text = html.unescape(text) if coded and "&" in text else text
+            self.parts.append(text)
+            if self.in_link or self.here.menu:
+                self.links += len(text)
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
+            if text and not self.here.unseen:
+                self.blocks.append(Block(self.here, text, min(self.links, len(text))))
+            self.parts, self.links = [], 0
+
+    def leave(self, to: Element) -> None:
+        """Closes elements up to ``to``, and that one."""
+        while self.here is not to:
+            self.open[self.here.name] -= 1
+            self.here = self.here.parent
+        self.open[to.name] -= 1
+        self.here = to.parent
+
+    def run(self) -> list[Block]:
+        page, at = self.page, 0
+        while True:
+            start = page.find("<", at)
+            if start < 0:
+                self.add(page[at:])
+                break
+            self.add(page[at:start])
+            at = self.markup(start)
+            if at < 0:
+                break
+        self.flush()
+        return self.blocks
+
+    def markup(self, start: int) -> int:
+        """Reads what begins with the ``<`` at ``start``; where it ends, -1 if the page ends in it."""
+        page = self.page
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            return -1 if end < 0 else end + 3
+        if page.startswith("<![CDATA[", start):
+            end = page.find("]]>", start)
+            self.add(page[start + 9 : end if end >= 0 else len(page)], coded=False)
+            return -1 if end < 0 else end + 3
+        if page.startswith(("<!", "<?"), start):
+            return page.find(">", start) + 1 or -1
+        match = TAG.match(page, start)
+        if match is None:
+            self.add("<")
+            return start + 1
+        name, closing = match[1].lower(), page[start + 1] == "/"
+        stop = REST.match(page, match.end()).end() if self.quotes else page.find(">", match.end())
+        if stop < 0 or stop >= len(page) or page[stop] != ">":
+            self.quotes = False  # a quote that never ends: from here on quotes are like other characters
+            stop = page.find(">", match.end())
+            if stop < 0:
+                return -1
+        if closing:
+            self.close(name)
+            return stop + 1
+        if name in RAW:
+            end = RAW_END[name].search(page, stop)
+            return -1 if end is None else page.find(">", end.end()) + 1 or -1
+        self.start(name, page[match.end() : stop])
+        return stop + 1
+
+    def close(self, name: str) -> None:
+        if self.skip:
+            if name == self.skip:
+                self.skip_depth -= 1
+                self.skip = self.skip if self.skip_depth else ""
+            if self.skip_all and self.skip:
+                return
+        if name == "a":
+            self.in_link = False
+        elif self.open[name] > 0:
+            self.flush()
+            found = self.here
+            while found.name != name:
+                found = found.parent
+            self.leave(found)
+
+    def start(self, name: str, rest: str) -> None:
+        if self.skip:
+            if name == self.skip:
+                self.skip_depth += 1
+            if self.skip_all or name not in BLOCK:
+                return
+            self.skip = ""  # a named inline element that holds blocks: its name says nothing
+        if name in ("br", "math", "annotation"):
+            self.add(" ")
+        elif name == "a":
+            self.in_link = True
+        elif name in BLOCK or name in OTHER_TAGS or name in UNSEEN_TAGS:
+            self.flush()
+            while name in ENDS_BEFORE.get(self.here.name, ()):
+                self.leave(self.here)
+            if name != "hr" and not rest.endswith("/"):
+                parent = self.here
+                bits, main, menu, unseen = said(name, rest, parent.outer_main is not None)
+                path = self.paths.setdefault((parent.path, name, bits, menu), len(self.paths) + 1)
+                self.here = Element(name, parent, path, parent.bits + bits, main, menu, unseen)
+                self.open[name] += 1
+        elif name not in VOID and rest and not rest.isspace() and not rest.endswith("/"):
+            bits, _, _, unseen = said(name, rest, True)
+            if unseen or bits < 0:
+                self.skip, self.skip_depth, self.skip_all = name, 1, unseen
 
 
-def _within_article(element: Element | None) -> bool:
-    while element is not None:
-        if element.main:
-            return True
+def scan(page: str) -> list[Block]:
+    """Text blocks in page order, those of other parts of the page included."""
+    return Scanner(page).run()
+
+
+def container(element: Element) -> Element:
+    while element.name in LEAVES and element.parent is not None:
         element = element.parent
-    return False
+    return element
 
 
-def scan(page: str) -> list[Block]:
-    """Text blocks in page order, without those in elements that are something else by more than a name."""
-    root = Element("", None, False, False, (), 0)
-    here, blocks, parts, links, in_link = root, [], [], 0, 0
-    lower = ""
-
-    def flush() -> None:
-        nonlocal parts, links
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text and not here.other:
-                blocks.append(Block(here, text, min(links, len(text)), len(PUNCTUATION.findall(text))))
-            parts, links = [], 0
-
-    at = 0
-    while True:
-        match = TOKEN.search(page, at)
-        if match is None:
-            parts.append(page[at:])
-            break
-        if match.start() > at:
-            text = page[at : match.start()]
-            parts.append(text)
-            links += len(text) if in_link else 0
-        at = match.end()
-        if match["cdata"] is not None:
-            parts.append(match["cdata"].replace("&", "&amp;"))
-        if match["name"] is None:
-            continue
-        name = match["name"].lower()
-        if match["end"]:
-            if name == "a":
-                in_link = max(0, in_link - 1)
-            elif name in BLOCK or name in OTHER_TAGS:
-                found = here
-                while found is not root and found.name != name:
-                    found = found.parent
-                if found is not root:
-                    flush()
-                    here = found.parent
-            continue
-        if name in RAW:
-            lower = lower or page.lower()
-            end = lower.find(f"</{name}", at)
-            at = len(page) if end < 0 else page.find(">", end) + 1 or len(page)
-            continue
-        if name in ("br", "math", "annotation"):
-            parts.append(" ")
-        elif name == "a":
-            in_link = 1
-        elif name in BLOCK or name in OTHER_TAGS:
-            flush()
-            found = here
-            while found is not root:
-                if name in ENDS_BEFORE.get(found.name, ()):
-                    here = found.parent
-                elif name not in ("p",) and found.name in SCOPES.get(name, ()) or found.name in BLOCK and name not in ENDS_BEFORE.get(found.name, ()):
-                    break
-                found = found.parent
-            if name != "hr" and not match["rest"].endswith("/"):
-                other, main, named = is_other(name, match["rest"], here)
-                outer, here = here.mark, Element(name, here, here.other or other, main, (*here.path, name), here.depth + 1, named=named)
-                here.mark = here if (outer is not None if name in ("article", "main") else named or main and outer is not None) else outer
-        elif name not in VOID and match["rest"]:
-            other, _, named = is_other(name, match["rest"], here)
-            if other or named:  # an inline element that is hidden or an advert: skip to its end
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                if end and (other or not HOLDS_BLOCKS.search(page, at, end.start())):
-                    at = end.end()
-    flush()
-    return blocks
-
-
-def ratios(blocks: list[Block]) -> dict[tuple[str, ...], float]:
-    """Aggregates, smooths and fuses; gives each block its smoothed ratio and returns the paths' ratios."""
-    paths: defaultdict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])
+def ratios(blocks: list[Block]) -> dict[int, float]:
+    """Aggregates by path, smooths along containers and fuses by path: the ratio of each path."""
+    paths: defaultdict[int, list[int]] = defaultdict(lambda: [0, 0, 0])
     for b in blocks:
         own = paths[b.element.path]
         own[0] += max(0, len(b.text) - b.links)
         own[1] += b.marks
         own[2] += 1
     raw = {p: (length / n) * (1 + marks) / n for p, (length, marks, n) in paths.items()}
-    values = [raw[b.element.path] for b in blocks]
-    before, own, after = SMOOTHING
-    for i, b in enumerate(blocks):
-        b.ratio = before * values[max(0, i - 1)] + own * values[i] + after * values[min(len(values) - 1, i + 1)]
-    fused: defaultdict[tuple[str, ...], list[float]] = defaultdict(list)
+    held: dict[int, list[Block]] = {}
     for b in blocks:
-        fused[b.element.path].append(b.ratio)
+        held.setdefault(id(container(b.element)), []).append(b)
+    fused: defaultdict[int, list[float]] = defaultdict(list)
+    before, own, after = SMOOTHING
+    for group in held.values():
+        values = [raw[b.element.path] for b in group]
+        last = len(values) - 1
+        for i, b in enumerate(group):
+            fused[b.element.path].append(before * values[max(0, i - 1)] + own * values[i] + after * values[min(last, i + 1)])
     return {p: sum(v) / len(v) for p, v in fused.items()}
 
 
-def _outer_main(element: Element | None) -> Element | None:
-    """The outermost element around a block that says it is the article."""
-    found = None
-    while element is not None:
-        found = element if element.main else found
-        element = element.parent
-    return found
+def score(ratio: float, bits: float) -> float:
+    return math.log2(1 + ratio) + bits
 
 
-def _at_path(element: Element | None, path: tuple[str, ...]) -> Element | None:
-    while element is not None and element.path != path:
+def _list_of(block: Block) -> object:
+    """The outermost list or table around a block, else the block."""
+    element, found = block.element, block
+    while element is not None and element.name in LEAVES:
+        found = element if element.name in ("ul", "ol", "dl", "table") else found
         element = element.parent
-    return element
+    return found
 
 
-def _deepest(chosen: list[Block], n_blocks: int) -> Element:
-    """The deepest element that holds most of the text of ``chosen``."""
-    weight: defaultdict[int, int] = defaultdict(int)
+def roots_of(blocks: list[Block], fused: dict[int, float]) -> list[Element | None]:
+    """The root that each block is in."""
+    mains = [b.element.outer_main for b in blocks]
+    if any(m is not None for m in mains):
+        return mains
+    scores = [score(fused[b.element.path], b.element.bits) for b in blocks]
+    best = max(scores)
+    above = [s >= best - SPREAD for s in scores]
+    weight: Counter[int] = Counter()
     holders: dict[int, Element] = {}
-    for b in chosen:
-        element = b.element
-        while element is not None:
-            holders[id(element)] = element
-            weight[id(element)] += len(b.text)
-            element = element.parent
-    total = sum(len(b.text) for b in chosen)
-    deep = max((e for e in holders.values() if weight[id(e)] >= 0.75 * total), key=lambda e: e.depth)
-    if deep.name in HEADINGS | {"p", "li", "td", "th", "dd", "dt", "pre", "blockquote"} and deep.parent is not None and n_blocks > 1:
-        deep = deep.parent
-    return deep
-
-
-def _main_of(element: Element | None) -> Element | None:
-    while element is not None and not element.main:
-        element = element.parent
-    return element
+    total = 0
+    for b, ok in zip(blocks, above):  # text of each element; elements add it to their parents, the deepest first
+        if ok:
+            holders[id(b.element)] = b.element
+            weight[id(b.element)] += len(b.text)
+            total += len(b.text)
+    levels: defaultdict[int, dict[int, Element]] = defaultdict(dict)
+    for e in holders.values():
+        levels[e.depth][id(e)] = e
+    deep = None
+    for depth in range(max(levels), -1, -1):
+        for key, e in levels[depth].items():
+            if weight[key] >= MOST_TEXT * total:
+                deep = e
+                break
+            if e.parent is not None:
+                weight[id(e.parent)] += weight[key]
+                levels[depth - 1][id(e.parent)] = e.parent
+        if deep is not None:
+            break
+    if deep.parent is not None and len(blocks) > 1:
+        deep = container(deep)
 
+    def at_root(e: Element | None) -> Element | None:
+        while e is not None and e.depth > deep.depth:
+            e = e.parent
+        return e if e is not None and e.path == deep.path else None
 
-def without_named(blocks: list[Block]) -> list[Block]:
-    """Drops blocks inside named elements, but for those that an article or their ratio speaks for."""
-    plain = [b for b in blocks if b.element.mark is None]
-    if len(plain) == len(blocks):
-        return blocks
-    best = max(ratios(plain).values(), default=0.0)
-    mains = {id(m): m for b in plain if (m := _main_of(b.element)) is not None}
-    groups: defaultdict[int, list[Block]] = defaultdict(list)
-    for b in blocks:
-        if b.element.mark is not None:
-            groups[id(b.element.mark)].append(b)
-    kept = {id(None)}
-    for key, group in groups.items():
-        mark, around = group[0].element.mark, set()
-        element = mark
-        while element is not None:
-            around.add(id(element))
-            element = element.parent
-        own = max(ratios(group).values())
-        if mark.main and not mark.named and mains.keys() <= around:  # no article beside it
-            least = SHARE * best
-        else:
-            least = max(LEAST_RATIO, PRIOR * best)
-        if own >= least:
-            kept.add(key)
-    return [b for b in blocks if id(b.element.mark) in kept]
+    places = {id(e): at_root(e) for e in {id(b.element): b.element for b in blocks}.values()}
+    own = [places[id(b.element)] for b in blocks]
+    content = {b.element.path for b, e, ok in zip(blocks, own, above) if e is deep and ok}
+    kept = {id(deep)} | {id(e) for b, e, ok in zip(blocks, own, above) if e is not None and ok and b.element.path in content}
+    return [e if e is not None and id(e) in kept else None for e in own]
 
 
 def content(page: str | None) -> list[str]:
     """The blocks of the main text."""
-    blocks = without_named(scan(page or ""))
+    blocks = scan(page or "")
     if not blocks:
         return []
     fused = ratios(blocks)
-    mean = sum(b.ratio for b in blocks) / len(blocks)
-    spread = (sum((b.ratio - mean) ** 2 for b in blocks) / len(blocks)) ** 0.5
-    least = min(SHARE * spread, max(fused.values()))
-    chosen = [b for b in blocks if fused[b.element.path] >= least]
-    said = [m for b in blocks if (m := _outer_main(b.element)) is not None]
-    if said:  # those that hold content, and their siblings of the same path; all if none does
-        paths = {m.path for b in chosen if (m := _outer_main(b.element)) is not None}
-        kept = {id(m) for m in said if m.path in paths or not paths}
-    else:
-        deep = _deepest(chosen, len(blocks))
-        held = [(b, e) for b in chosen if (e := _at_path(b.element, deep.path)) is not None]
-        paths = {b.element.path for b, e in held if e is deep}
-        kept = {id(deep)} | {id(e) for b, e in held if b.element.path in paths}
+    roots = roots_of(blocks, fused)
+    sums: defaultdict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
     linked: defaultdict[int, list[int]] = defaultdict(lambda: [0, 0])
-    for b in blocks:  # by list or table, else by block
-        own = linked[id(_list_of(b))]
-        own[0] += b.links
-        own[1] += len(b.text)
-    out = []
-    for b in blocks:
-        element = b.element
-        while element is not None and id(element) not in kept:
-            element = element.parent
-        links, size = linked[id(_list_of(b))]
-        if element is not None and (element.main or b.element.name in HEADINGS or b.element.name == "p" or links <= LINK_SHARE * size):
-            out.append(b.text)
-    return out
-
-
-def _list_of(block: Block) -> object:
-    element = block.element
-    while element is not None and element.name in ("li", "ul", "ol", "dt", "dd", "dl", "td", "tr", "tbody", "table"):
-        if element.name in ("ul", "ol", "dl", "table"):
-            return element
-        element = element.parent
-    return block
+    lists = [id(_list_of(b)) for b in blocks]
+    for b, root, own in zip(blocks, roots, lists):
+        linked[own][0] += b.links
+        linked[own][1] += len(b.text)
+        if root is not None and b.element.bits >= root.bits:  # text of the root, weighted by its length
+            sums[root.path][0] += len(b.text) * fused[b.element.path]
+            sums[root.path][1] += len(b.text)
+    scores = []
+    for b, root, own in zip(blocks, roots, lists):
+        ratio = fused[b.element.path]
+        links, size = linked[own]
+        if root is not None and sums[root.path][1] and (root.main or b.element.name in HEADINGS or b.element.name == "p" or links <= LINK_SHARE * size):
+            whole, length = sums[root.path]
+            ratio = max(ratio, (1 - SHARED) * ratio + SHARED * whole / length)
+        scores.append(score(ratio, b.element.bits))
+    least = max(scores) - SPREAD
+    return [b.text for b, s in zip(blocks, scores) if s >= least and s > 0]
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", content_column: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each row."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
