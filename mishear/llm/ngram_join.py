@@ -1,30 +1,38 @@
 """N-gram Jaccard join by MinHash banding, verified on full n-gram sets.
 
 A document's n-grams are the runs of five white-space-separated words of its
-whole text (a shorter text is one n-gram), as 64-bit hashes. Documents with
-equal sets are copies; one row for each set, with the least id and the number
-of copies, goes on.
+whole text (a shorter text is one n-gram), as 64-bit hashes: of m n-grams that
+are compared, two different ones are taken for equal with a chance of m^2 / 2^65.
+Documents with equal sets are copies; one row for each set, known by a 128-bit
+digest, goes on.
 
 1. Bands: rows for each band and their number are chosen for a target recall at
-   the threshold (:func:`banding`). Within each input partition the documents of
-   a bucket first link to their least id, so that the shuffle on band hashes has
+   the threshold (:func:`banding`). Within each input partition the sets of
+   a bucket first link to their least digest, so that the shuffle on band hashes has
    at most one row for each bucket and task, however large the bucket.
 2. Candidates: the connected components of bucket links. A component within
    ``GROUP_DOCS`` and ``GROUP_GRAMS`` is verified in one group. A larger one is
-   split by bucket, and a bucket that is larger still into blocks, every pair of
-   blocks being a group; a pair is then verified in its first common bucket only.
-3. Verification: in a group, n-grams of two or more documents become columns of
-   a bit matrix, and a document is compared with all candidates of higher number
-   by counting common bits. Pairs are counted, never emitted as rows: a group
-   gives, for each document, its number of links and the least id it reaches.
+   split: a pair that shares a bucket within these bounds, and none beyond, is
+   verified in the first such bucket. Sets that buckets beyond the bounds
+   connect form a core, which is dealt out over blocks; each pair of blocks is
+   a group.
+3. Verification: sets are shipped as hashes. In a group, n-grams of two or more
+   sets become columns of a bit matrix, and a set is compared with all
+   candidates of higher number by counting common bits. Pairs are counted,
+   never emitted as rows: a group gives, for each set, its number of links and
+   the least digest it reaches.
 
 The result has one row for each document: class_id (least id of its connected
-component of links), copy_id (least id with the same n-grams) and n_links (the
-documents at or above the threshold, copies included).
+component of links), copy_id (least id with the same n-grams), n_links (the
+documents at or above the threshold, copies included), n_grams, digest (of its
+n-gram set) and root (the least digest of its component).
 
 Defined cases: null, empty and blank texts have the empty set, so they are
 copies of each other and link to nothing else; a repeated row is a copy of
-itself; an empty table gives no rows; other columns are ignored.
+itself; rows of one id with different texts are different documents, so an id
+may have several rows and classes; null ids link like others, and a class or
+copy id is null only if all ids of it are; a very long text is one task's work;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,19 +46,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mishear.llm._arrow import list_array, slices
-from mishear.llm._cluster import checkpointed
+from mishear.llm._arrow import list_array, slices, tidy
+from mishear.llm._cluster import checkpointed, lookup
 from mishear.llm._components import components
 
 WORDS, THRESHOLD = 5, 0.8
 #: Recall of a pair at the threshold, and hash functions that may be spent on it.
 RECALL, MOST_HASHES = 0.9999, 128
-#: What one verification group holds at most.
-GROUP_DOCS, GROUP_GRAMS = 4096, 4_000_000
+#: What one verification group holds at most, sets and n-grams.
+GROUP_DOCS, GROUP_GRAMS = 256, 2_000_000
+#: Blocks that a core is dealt out over at least, if it is large enough, and sets of a block at most.
+CORE_BLOCKS, BLOCK_DOCS = 32, 2048
 #: N-grams whose hashes are minimized at once, to stay in the cache, and bytes of a bit matrix.
 BLOCK, MATRIX_BYTES = 1 << 15, 1 << 26
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -78,7 +88,7 @@ def _multipliers(n: int) -> np.ndarray:
     return _mixed(np.arange(1, n + 1, dtype=np.uint64) * ODD) | np.uint64(1)
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=100_000)
 def _word(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode())
 
@@ -141,6 +151,7 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -
 
 
 def sign(bands: int, rows: int, n: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -165,6 +176,7 @@ def digested(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataFrame:
     """Adds ``digest``, that of the n-gram set of each row."""
     rows = docs.withColumn(text, F.col(text).cast("string"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
@@ -176,52 +188,69 @@ def digested(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("digest", T.BinaryType())]))
 
 
-def _least_by(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and ids sorted, and the least id of each key."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
+def _ranked(digests: list[pa.Array]) -> tuple[np.ndarray, pa.Array]:
+    """Each digest's number in the order of the distinct ones, and these."""
+    coded = pa.chunked_array(digests, pa.binary()).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy(zero_copy_only=False)] = np.arange(len(order))
+    return rank[coded.indices.to_numpy(zero_copy_only=False)], coded.dictionary.take(order)
+
+
+def _least_by(keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and ranks sorted, and the least rank of each key."""
+    order = np.lexsort((ranks, keys))
+    keys, ranks = keys[order], ranks[order]
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
-    return keys, ids, ids[first][np.cumsum(first) - 1] if len(ids) else ids
+    return keys, ranks, ranks[first][np.cumsum(first) - 1] if len(ranks) else ranks
 
 
-def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    pairs = np.unique(np.column_stack([u, v])[u != v], axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["u", "v"])
+def _edges(u: np.ndarray, v: np.ndarray, own: pa.Array) -> pa.RecordBatch:
+    pairs = np.unique((u * max(1, len(own)) + v)[u != v])
+    u, v = np.divmod(pairs, max(1, len(own)))
+    return pa.RecordBatch.from_arrays([own.take(pa.array(u)), own.take(pa.array(v))], names=["u", "v"])
 
 
-def _stacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray] | None:
-    """Band keys and ids of all rows of a partition."""
-    keys, ids = [], []
+def _stacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, pa.Array] | None:
+    """Band keys and ranks of all rows of a partition, and the digests."""
+    keys, counts, digests = [], [], []
     for batch in batches:
         own = batch.column("bands")
-        k = own.flatten().to_numpy(zero_copy_only=False)
-        keys.append(k)
-        ids.append(np.repeat(batch.column("id").to_numpy(), pc.list_value_length(own).to_numpy(zero_copy_only=False)))
-    return (np.concatenate(keys), np.concatenate(ids)) if keys else None
+        keys.append(own.flatten().to_numpy(zero_copy_only=False))
+        counts.append(pc.list_value_length(own).to_numpy(zero_copy_only=False))
+        digests.append(batch.column("digest"))
+    if not keys:
+        return None
+    ranks, own = _ranked(digests)
+    return np.concatenate(keys), np.repeat(ranks, np.concatenate(counts)), own
 
 
+@tidy
 def near_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links to the least id of a bucket within this partition."""
-    if (own := _stacked(batches)) is not None:
-        _, ids, least = _least_by(*own)
-        yield _edges(ids, least)
+    """Links to the least digest of a bucket within this partition."""
+    if (found := _stacked(batches)) is not None:
+        _, ranks, least = _least_by(*found[:2])
+        yield _edges(ranks, least, found[2])
 
 
+@tidy
 def near_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least id of each bucket within this partition."""
-    if (own := _stacked(batches)) is not None:
-        keys, ids, least = _least_by(*own)
-        first = ids == least
-        yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(ids[first])], names=["key", "id"])
+    """The least digest of each bucket within this partition."""
+    if (found := _stacked(batches)) is not None:
+        keys, ranks, least = _least_by(*found[:2])
+        first = ranks == least
+        yield pa.RecordBatch.from_arrays([pa.array(keys[first]), found[2].take(pa.array(ranks[first]))], names=["key", "digest"])
 
 
+@tidy
 def far_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links to the least id of a bucket among those that partitions sent."""
-    found = [(b.column("key").to_numpy(), b.column("id").to_numpy()) for b in batches]
+    """Links to the least digest of a bucket among those that partitions sent."""
+    found = [(b.column("key").to_numpy(), b.column("digest")) for b in batches]
     if found:
-        _, ids, least = _least_by(*map(np.concatenate, zip(*found)))
-        yield _edges(ids, least)
+        ranks, own = _ranked([d for _, d in found])
+        _, ranks, least = _least_by(np.concatenate([k for k, _ in found]), ranks)
+        yield _edges(ranks, least, own)
 
 
 def reach(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -237,11 +266,15 @@ def reach(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         label = new
 
 
-def verify_group(sets: list[np.ndarray], bands: np.ndarray, block: np.ndarray | None, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+WHOLE, BUCKET, CORE = 0, 1, 2  # kinds of groups
+
+
+def verify_group(sets: list[np.ndarray], bands: np.ndarray, large: np.ndarray, block: np.ndarray, kind: int, band: int, two: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (numbers u < v) of a group.
 
-    Pairs share a band; if blocks are given they lie in different ones; with a
-    band >= 0 that band is the first they share.
+    Pairs share a band. In a bucket it is the first that they share, and they
+    share none whose bucket is large; in a core they share one whose bucket is
+    large, and if it has two blocks they lie in different ones.
     """
     n = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, n)
@@ -257,9 +290,14 @@ def verify_group(sets: list[np.ndarray], bands: np.ndarray, block: np.ndarray |
     candidates = []
     for i in range(n - 1):
         same = bands[i + 1 :] == bands[i]
-        ok = same[:, band] & ~same[:, :band].any(axis=1) if band >= 0 else same.any(axis=1)
-        if block is not None:
-            ok &= block[i + 1 :] != block[i]
+        if kind == WHOLE:
+            ok = same.any(axis=1)
+        elif kind == BUCKET:
+            ok = same[:, band] & ~same[:, :band].any(axis=1) & ~(same & large[i]).any(axis=1)
+        else:
+            ok = (same & large[i]).any(axis=1)
+            if two:
+                ok &= block[i + 1 :] != block[i]
         ok &= np.minimum(sizes[i + 1 :], sizes[i]) >= threshold * np.maximum(sizes[i + 1 :], sizes[i])
         candidates.append(np.flatnonzero(ok) + i + 1)
     common = [np.zeros(len(c), np.int64) for c in candidates]
@@ -286,89 +324,151 @@ def verify_group(sets: list[np.ndarray], bands: np.ndarray, block: np.ndarray |
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, int), np.empty(0, int))
 
 
-def verify(n: int, threshold: float):
-    """Over rows sorted by group: (id, root, links) for each document and group."""
+def hashed(n: int):
+    """Replaces the text of rows by its n-gram hashes."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, offsets = grams(part.column("text"), n)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in MEMBER), list_array(hashes.view(np.int64), offsets, pa.int64())], names=[*MEMBER, "grams"])
+
+    return run
+
+
+#: A set that may have links: its digest, copies, band hashes, those of large buckets, and the groups that verify it.
+MEMBER = ("digest", "copies", "bands", "large", "groups")
+GROUP = "struct<kind:int,root:binary,key:bigint,band:int,i:int,j:int,block:int>"
+MEMBER_SCHEMA = f"digest binary, copies long, bands array<long>, large array<boolean>, groups array<{GROUP}>"
+GROUP_KEY = ["kind", "root", "key", "band", "i", "j"]
+
+
+def verify(threshold: float):
+    """Over rows sorted by group: (digest, root, links, whole) for each set and group."""
 
     def finish(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
-        _, band, i, j = key
-        seen: dict[int, tuple] = {}
-        for r in rows:
-            seen.setdefault(r[0], r)
-        rows = sorted(seen.values(), key=lambda r: r[0])
-        ids = np.array([r[0] for r in rows], np.int64)
+        rows.sort(key=lambda r: r[0])
+        digests = [r[0] for r in rows]
         copies = np.array([r[1] for r in rows], np.int64)
-        u, v = verify_group([r[2] for r in rows], np.stack([r[3] for r in rows]), np.array([r[4] for r in rows]) if i != j else None, band, threshold)
-        links = (np.bincount(u, copies[v], len(ids)) + np.bincount(v, copies[u], len(ids))).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[reach(len(ids), u, v)]), pa.array(links)], names=["id", "root", "links"])
-
+        bands, large, block = np.stack([r[2] for r in rows]), np.stack([r[3] for r in rows]), np.array([r[4] for r in rows])
+        u, v = verify_group([r[5] for r in rows], bands, large, block, key[0], key[3], key[4] != key[5], threshold)
+        n = len(rows)
+        links = (np.bincount(u, copies[v], n) + np.bincount(v, copies[u], n)).astype(np.int64)
+        roots = [digests[k] for k in reach(n, u, v).tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(roots, pa.binary()), pa.array(links), pa.array([key[0] == WHOLE] * n)], names=["digest", "root", "links", "whole"])
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            for part in slices(batch, "text"):
-                hashes, offsets = grams(part.column("text"), n)
-                digests = digests_of(hashes, offsets)
-                own = part.select(["id", "copies", "digest", "block"]).to_pydict()
-                keys = list(zip(*(part.column(c).to_pylist() for c in ("grp", "band", "i", "j"))))
-                bands = part.column("bands")
-                bands = bands.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                for k, key in enumerate(keys):
-                    if key != now:
-                        if len(rows) > 1:
-                            yield finish(now, rows)
-                        now, rows = key, []
-                    if digests[k] == own["digest"][k]:  # another row may bear the same id
-                        rows.append((own["id"][k], own["copies"][k], hashes[offsets[k] : offsets[k + 1]].copy(), bands[k].copy(), own["block"][k]))
+            m = batch.num_rows
+            if not m:
+                continue
+            lists = [batch.column(c) for c in ("bands", "large", "grams")]
+            bands, large = (x.flatten().to_numpy(zero_copy_only=False).reshape(m, -1) for x in lists[:2])
+            at = lists[2].offsets.to_numpy()
+            at, sets = at - at[0], lists[2].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            digests, copies, block = (batch.column(c).to_pylist() for c in ("digest", "copies", "block"))
+            for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in GROUP_KEY))):
+                if key != now:
+                    if len(rows) > 1:
+                        yield finish(now, rows)
+                    now, rows = key, []
+                rows.append((digests[k], copies[k], bands[k].copy(), large[k].copy(), block[k], sets[at[k] : at[k + 1]].copy()))
         if len(rows) > 1:
             yield finish(now, rows)
 
     return run
 
 
+def _group(kind: int, **values) -> Column:
+    none = {"root": F.lit(b""), "key": F.lit(0).cast("long"), "band": F.lit(-1), "i": F.lit(0), "j": F.lit(0), "block": F.lit(0)}
+    return F.struct(F.lit(kind).alias("kind"), *(c.alias(k) for k, c in (none | values).items())).cast(GROUP)
+
+
+def _groups_of_large(large: DataFrame) -> DataFrame:
+    """Members (MEMBER) of components beyond the bounds (digest, copies, n_grams, bands)."""
+    own = large.select("digest", "n_grams", F.posexplode("bands").alias("band", "key"))
+    buckets = own.groupBy("key", "band").agg(F.count("*").alias("docs"), F.sum("n_grams").alias("grams"), F.min("digest").alias("least")).where("docs > 1")
+    beyond = (F.col("docs") > GROUP_DOCS) | (F.col("grams") > GROUP_GRAMS)
+    held = checkpointed(lookup(own, buckets.select("key", "band", "least", beyond.alias("large")), ["key", "band"], "inner"))
+    roots = components(held.where("large").select(F.col("digest").alias("u"), F.col("least").alias("v"))).withColumnRenamed("id", "digest")
+    cores = checkpointed(roots.join(large.select("digest", "n_grams"), "digest"))
+    sizes = cores.groupBy("root").agg(F.count("*").alias("docs"), F.sum("n_grams").alias("grams"))
+    most = lambda count, of: F.ceil(F.col(count) / F.lit(of))
+    blocks = F.greatest(most("docs", BLOCK_DOCS), most("grams", GROUP_GRAMS // 2), F.least(most("docs", max(1, GROUP_DOCS // 2)), F.lit(CORE_BLOCKS))).cast("int")
+    cores = lookup(cores, sizes.select("root", blocks.alias("blocks")), ["root"], "inner")
+    block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    with_each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: _group(CORE, root=F.col("root"), i=F.least(block, o), j=F.greatest(block, o), block=block))
+    of_core = cores.select("digest", with_each.alias("in_core"))
+    small = F.when(~F.col("large"), _group(BUCKET, key=F.col("key"), band=F.col("band")))
+    by_set = held.groupBy("digest").agg(F.collect_list(small).alias("in_buckets"), F.collect_list(F.when(F.col("large"), F.col("band"))).alias("bands_beyond"))
+    joined = large.join(by_set, "digest").join(of_core, "digest", "left")
+    flags = F.transform("bands", lambda _, k: F.array_contains("bands_beyond", k))
+    none = F.array().cast(f"array<{GROUP}>")
+    return joined.select("digest", "copies", "bands", flags.alias("large"), F.concat("in_buckets", F.coalesce("in_core", none)).alias("groups"))
+
+
 def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, copy_id, n_links, n_grams, digest) of each row; digest: of its n-gram set."""
+    """(doc_id, class_id, copy_id, n_links, n_grams, digest, root) of each row."""
     spark = docs.sparkSession
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands, rows = banding(threshold, recall)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = checkpointed(texts.mapInArrow(sign(bands, rows, n), "doc_id long, digest binary, n_grams long, bands array<long>"))
-    sets = signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.max("n_grams").alias("n_grams"), F.min("bands").alias("bands"))
+    # ids that do not name one set: null, or of several
+    per_id = signed.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+    odd = checkpointed(per_id.where("doc_id IS NULL OR a <> b").select("doc_id", F.lit(True).alias("odd")))
+    has_odd = not odd.isEmpty()
+    known = lookup(signed, odd.where("doc_id IS NOT NULL"), ["doc_id"]) if has_odd else signed.withColumn("odd", F.lit(None).cast("boolean"))
+    holder = F.min(F.when(F.col("odd").isNull(), F.col("doc_id")))
+    sets = known.groupBy("digest").agg(
+        F.min("doc_id").alias("id"), holder.alias("holder"), F.count("*").alias("copies"), F.max("n_grams").alias("n_grams"), F.min("bands").alias("bands")
+    )
     sets = checkpointed(sets)
-    full = sets.where("n_grams > 0").select("id", "bands")
-    buckets = full.mapInArrow(near_buckets, "key long, id long").repartition(deal, "key")
-    links = full.mapInArrow(near_links, "u long, v long").unionByName(buckets.mapInArrow(far_links, "u long, v long"))
-    members = components(links).join(sets, "id")
+    full = sets.where("n_grams > 0").select("digest", "bands")
+    buckets = full.mapInArrow(near_buckets, "key long, digest binary").repartition(deal, "key")
+    links = full.mapInArrow(near_links, "u binary, v binary").unionByName(buckets.mapInArrow(far_links, "u binary, v binary"))
+    members = checkpointed(components(links).withColumnRenamed("id", "digest").join(sets, "digest"))
     totals = members.groupBy("root").agg(F.count("*").alias("docs"), F.sum("n_grams").alias("grams"))
-    members = checkpointed(members.join(totals, "root"))
+    members = checkpointed(lookup(members, totals, ["root"], "inner"))
     fits = (F.col("docs") <= GROUP_DOCS) & (F.col("grams") <= GROUP_GRAMS)
-    zero, columns = F.lit(0), ["id", "copies", "digest", "bands", "grp", "band", "block", "i", "j"]
-    groups = members.where(fits).select("id", "copies", "digest", "bands", F.col("root").alias("grp"), F.lit(-1).alias("band"), zero.alias("block"), zero.alias("i"), zero.alias("j"))
-    large = members.where(~fits).select("id", "copies", "digest", "bands", "n_grams")
+    none = F.transform("bands", lambda _: F.lit(False))
+    placed = members.where(fits).select("digest", "copies", "bands", none.alias("large"), F.array(_group(WHOLE, root=F.col("root"))).alias("groups"))
+    large = members.where(~fits).select("digest", "copies", "n_grams", "bands")
     split = not large.isEmpty()
     if split:
-        own = large.select("*", F.posexplode("bands").alias("band", "grp"))
-        counts = own.groupBy("grp", "band").agg(F.count("*").alias("docs"), F.sum("n_grams").alias("grams")).where("docs > 1")
-        blocks = F.ceil(F.greatest(F.col("docs") / F.lit(GROUP_DOCS // 2), F.col("grams") / F.lit(GROUP_GRAMS // 2))).cast("int")
-        own = own.join(counts.select("grp", "band", blocks.alias("blocks")), ["grp", "band"])
-        own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        own = own.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-        groups = groups.unionByName(own.select(*columns[:7], F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    placed = texts.join(groups, texts["doc_id"] == groups["id"]).drop("doc_id")
-    key = ["grp", "band", "i", "j"]
-    verified = checkpointed(placed.repartition(deal, *key).sortWithinPartitions(*key).mapInArrow(verify(n, threshold), "id long, root long, links long"))
-    found = verified.groupBy("id").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
+        placed = checkpointed(placed.unionByName(_groups_of_large(large)))
+    held = members.select("digest", "holder")
+    by_id = texts.join(held.where("holder IS NOT NULL"), texts["doc_id"] == F.col("holder")).select("digest", "text")
+    if has_odd:
+        loose = texts.join(F.broadcast(odd.where("doc_id IS NULL").limit(1).select(F.lit(True).alias("some"))), texts["doc_id"].isNull(), "left_semi")
+        loose = loose.unionByName(lookup(texts, odd.where("doc_id IS NOT NULL"), ["doc_id"], "inner").drop("odd"))
+        loose = digested(loose, n=n).groupBy("digest").agg(F.min("text").alias("text"))
+        by_id = by_id.unionByName(loose.join(held.where("holder IS NULL").select("digest"), "digest").select("digest", "text"))
+    rows_of = by_id.join(placed, "digest").mapInArrow(hashed(n), MEMBER_SCHEMA + ", grams array<long>")
+    grouped = rows_of.select("digest", "copies", "bands", "large", "grams", F.inline("groups"))
+    verified = grouped.repartition(deal, *GROUP_KEY).sortWithinPartitions(*GROUP_KEY).mapInArrow(verify(threshold), "digest binary, root binary, links long, whole boolean")
+    verified = checkpointed(verified)
+    found = verified.groupBy("digest").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     if split:  # components that were verified in parts grow together
-        whole = components(verified.select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("root", "whole")
-        found = found.join(whole, "id", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
-    classes = sets.select("digest", "id", "copies").join(found, "id", "left")
-    return signed.select("doc_id", "digest", "n_grams").join(classes, "digest").select(
+        whole = components(verified.where("NOT whole").select(F.col("digest").alias("u"), F.col("root").alias("v"))).select(F.col("id").alias("digest"), F.col("root").alias("top"))
+        found = found.join(whole, "digest", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+    classes = sets.select("digest", "id", "copies").join(found, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    classes = checkpointed(classes)
+    names = classes.groupBy("root").agg(F.min("id").alias("class_id"))
+    classes = lookup(classes, names, ["root"], "inner")
+    return lookup(signed.select("doc_id", "digest", "n_grams"), classes, ["digest"], "inner").select(
         "doc_id",
-        F.coalesce("root", "id").alias("class_id"),
+        "class_id",
         F.col("id").alias("copy_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         "n_grams",
         "digest",
+        "root",
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("digest")
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("digest", "root")
