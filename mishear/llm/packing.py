@@ -14,13 +14,15 @@
    all rows of a length.
 
 Defined cases: a null text is an empty one, which gives one piece of the end id
-alone; a repeated row is packed as often as it occurs; an empty table gives no
+alone; a repeated row is packed as often as it occurs; a very long text is one
+task's work and is cut into pieces; null ids are kept; an empty table gives no
 rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -34,12 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mishear.llm._arrow import gather, slices, spans
+from mishear.llm._arrow import gather, slices, spans, tidy
 from mishear.llm._cluster import checkpointed
 
 CAPACITY, END_ID = 2048, 0
+#: Pieces of one length that a task numbers at most, about.
+SALT_ROWS = 200_000
 #: Words that a worker remembers between slices.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -50,12 +54,20 @@ class WordTokenizer:
     never looks across it. A word of plain letters and ASCII punctuation after
     them is two pre-tokens, the lower-cased letters and the punctuation; the
     letters go to the tokenizer's model directly. Any other word goes through
-    the whole tokenizer. ``checked`` tells whether the tokenizer agrees with
-    this split on a probe; if it does not, all words take the second way.
+    the whole tokenizer. ``whole`` tells that the tokenizer disagrees with this
+    split on a probe, which has every letter at each place of a word and every
+    pair of marks; then all words take the second way.
     """
 
     LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!\"#$%&()*+,\\-./:;<=>?@\\[\\]^_`{|}~"
-    PROBE = ["Straße,", "ÀÖØ***", "The", "x(.)", "ÿ-", "Éçon!?", "anonly###", "a[b", "don't", "b\u0301c."]
+
+    @classmethod
+    def probe(cls) -> list[str]:
+        inside = lambda ranges: [chr(c) for c in range(0x21, 0x100) if re.fullmatch(f"[{ranges}]", chr(c))]
+        letters, marks = inside(cls.LETTERS), inside(cls.MARKS)
+        words = [w for c in letters for w in (c, f"{c}an", f"w{c}n", f"THE{c}", f"{c}{c.upper()}.")]
+        words += [f"word{a}{b}" for a in marks for b in marks] + [f"É{m}" for m in marks] + [f"x{m * k}" for m in marks for k in (3, 4, 9)]
+        return [*words, "Straße,", "ÀÖØ***", "a[b", "don't", "b\u0301c."]
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -67,9 +79,10 @@ class WordTokenizer:
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_of = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self.plain = rf"^[{self.LETTERS}]+[{self.MARKS}]*$"
-        probe = pa.array(self.PROBE)
+        words = self.probe()
+        probe = pa.array(words)
         self.whole = False
-        self.whole = [x.tobytes() for x in np.split(*self._split(self.distinct(probe)))] != [self._encoded(w) for w in self.PROBE]
+        self.whole = [x.tobytes() for x in np.split(*self._split(self.distinct(probe)))] != [self._encoded(w) for w in words]
 
     @staticmethod
     def _split(flat_sizes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +144,7 @@ def tokenizer_of(path: str) -> WordTokenizer:
 
 
 def tokenize_pieces(path: str, capacity: int, end_id: int) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(path)
         end = np.array([end_id], "<u4").tobytes()
@@ -208,6 +222,7 @@ def place(slots: list[tuple[int, int, int, int, int]]) -> Callable:
     """Ranks to sequence and offset. The table has some rows for each length, however many pieces there are."""
     table = np.array(sorted(slots), np.int64).reshape(-1, 5)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = (table[:, 0] << 44) + table[:, 1]
         for batch in batches:
@@ -231,7 +246,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = checkpointed(rows.mapInArrow(tokenize_pieces(tokenizer, capacity, end_id), PIECES))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # one row a length
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-max(histogram.values(), default=0) // SALT_ROWS))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     numbered = salted.withColumn("nth", F.row_number().over(within).cast("long") - 1)

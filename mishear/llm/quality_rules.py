@@ -6,7 +6,8 @@ needs no shuffle, no user function and no state: it scales with the number of
 input splits only.
 
 Defined cases: a null or empty text has no words (all statistics 0, base rule
-fails, not kept); repeated rows are judged one by one; an empty table gives an
+fails, not kept); very long texts are judged whole, with arrays of some hundred
+bytes a word; repeated rows are judged one by one; an empty table gives an
 empty result; other columns of the input pass through :func:`judge` untouched
 unless they carry a name of the output, in which case the output wins.
 """
@@ -18,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mishear.llm._cluster import unused
+
 #: White space, symbols and stop words.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
@@ -77,11 +80,11 @@ def _without(chars: str, text: Column, other: str = "") -> Column:
     return text
 
 
-def _chars_in(chars: str) -> Column:
-    return (F.length("_text") - F.length(_without(chars, F.col("_text")))).cast("long")
+def _chars_in(chars: str, text: Column) -> Column:
+    return (F.length(text) - F.length(_without(chars, text))).cast("long")
 
 
-def _repeat_words() -> Column:
+def _repeat_words(words: str, windows: str) -> Column:
     """Words in 3-word windows found twice or more.
 
     Windows are sorted by (hash, position); a window repeats if a neighbour in
@@ -91,29 +94,28 @@ def _repeat_words() -> Column:
 
     def same(x: Column, other: Column) -> Column:
         return (x["h"] == other["h"]) & F.forall(
-            F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: F.get("_words", x["i"] + k) == F.get("_words", other["i"] + k)
+            F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: F.get(words, x["i"] + k) == F.get(words, other["i"] + k)
         )
 
-    repeats = F.filter("_windows", lambda x, j: same(x, F.get("_windows", j + 1)) | same(x, F.get("_windows", j - 1)))
+    repeats = F.filter(windows, lambda x, j: same(x, F.get(windows, j + 1)) | same(x, F.get(windows, j - 1)))
     covered = F.flatten(F.transform(repeats, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
     # most texts have no equal hashes at all: then nothing is sorted
-    return F.when(F.size("_windows") > 0, F.size(F.array_distinct(covered))).otherwise(0).cast("long")
+    return F.when(F.size(windows) > 0, F.size(F.array_distinct(covered))).otherwise(0).cast("long")
 
 
-def _windows() -> Column:
-    hashes = F.col("_hashes")
+def _windows(hashes: Column) -> Column:
     some = F.size(F.array_distinct(hashes)) < F.size(hashes)
     return F.when(some, F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(
         F.array().cast("array<struct<h:bigint,i:int>>")
     )
 
 
-def _window_hashes() -> Column:
-    n = F.size("_words")
+def _window_hashes(words: str) -> Column:
+    n = F.size(words)
     return F.when(
         n >= 4,
         F.transform(
-            F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
+            F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
         ),
     ).otherwise(F.array().cast("array<bigint>"))
 
@@ -121,24 +123,26 @@ def _window_hashes() -> Column:
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds the statistics, ``base_failed`` and ``kept`` to ``docs``."""
     stop = sorted({w for words in STOP_WORDS.values() for w in words})
-    line = F.split("_text", "\n", -1)
+    whole, words, lines, hashes, windows = unused(docs, "whole_text", "words", "lines", "hashes", "windows")
+    x = F.col(whole)
+    line = F.split(x, "\n", -1)
     has_word = f"[^{SPACE_CLASS}]"
-    out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumns({"_words": F.array_remove(F.split(_without(SPACES[1:], F.col("_text"), " "), " ", -1), ""), "_lines": F.filter(line, lambda x: x.rlike(has_word))})
-    out = out.withColumn("_hashes", _window_hashes())
-    out = out.withColumn("_windows", _windows())
+    out = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
+    out = out.withColumns({words: F.array_remove(F.split(_without(SPACES[1:], x, " "), " ", -1), ""), lines: F.filter(line, lambda x: x.rlike(has_word))})
+    out = out.withColumn(hashes, _window_hashes(words))
+    out = out.withColumn(windows, _windows(F.col(hashes)))
     stats = {
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": (F.length("_text") - _chars_in(SPACES)).cast("long"),
-        "n_symbols": _chars_in(SYMBOLS),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": _repeat_words(),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_shouts": _chars_in("!"),
-        "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stop))).cast("long"),
+        "n_words": F.size(words).cast("long"),
+        "word_chars": (F.length(x) - _chars_in(SPACES, x)).cast("long"),
+        "n_symbols": _chars_in(SYMBOLS, x),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": _repeat_words(words, windows),
+        "n_lines": F.size(lines).cast("long"),
+        "n_shouts": _chars_in("!", x),
+        "n_stop_words": F.size(F.filter(words, lambda w: w.isin(stop))).cast("long"),
     }
     # a generator of one row: else a filter on the result would move below and evaluate the arrays once an element
-    given = [c for c in docs.columns if c not in {*stats, "base_failed", "kept"}]
+    given = [f"`{c}`" for c in docs.columns if c.lower() not in {*stats, "base_failed", "kept"}]
     out = out.select(*given, F.inline(F.array(F.struct(*(v.alias(n) for n, v in stats.items())))))
     out = out.withColumn("base_failed", ~passes(BASE_RULES))
     return out.withColumn("kept", ~F.col("base_failed") & passes(rules))

@@ -19,8 +19,11 @@ A character in no piece becomes its bytes' pieces, if the model has them, else
 the unknown piece. Decoding joins pieces, bytes and all, and drops the leading
 mark.
 
-Defined cases: a null text is an empty one (no ids); repeated rows are encoded
-each; an empty table gives no rows; other columns of the input are ignored.
+Defined cases: a null text is an empty one (no ids); null ids of pieces, and
+those that the model has not, decode as the unknown piece; a very long text is
+one task's work, and so is a very long word, which takes some 25 bytes of memory
+a character; repeated rows are encoded each; an empty table gives no rows; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -38,16 +41,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mishear.llm._arrow import gather, list_array, slices
+from mishear.llm._arrow import gather, list_array, slices, tidy
 
 MARK = "▁"
 #: Words that a worker remembers between slices, text that is encoded at once (the more, the more prefixes are
 #: shared) and ids that are decoded at once.
 CACHE_WORDS, SLICE_BYTES, DECODED_IDS = 300_000, 24 << 20, 1 << 20
+#: Pairs of pieces that a worker remembers between words.
+CACHE_PAIRS = 1_000_000
 #: Kinds of models and of pieces.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
-SEPARATOR = "\x00"
+#: Characters that may stand between words: the first that neither a text nor a piece has.
+SEPARATORS = "\x00\x01\x02\x03\x04\x05\ue000\uf8ff\U000f0000\U0010fffd"
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -107,6 +113,7 @@ class Codec:
         self.valid: dict[int, bool] = {}
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.words_split = not crossing
+        self.separators = [c for c in SEPARATORS if not any(c in p for p in self.ids)]
         self.breaks = [c for c in "\n\r\t" if not any(c in p for p in self.ids)]
         out = [b" ".join(p.encode().split(MARK.encode())) for p in self.pieces]
         for i, k in enumerate(kinds):
@@ -143,7 +150,7 @@ class Codec:
             ok = self.valid[key] = self.merged("".join(own)) == own
         return ok
 
-    def _finish(self, last: list[int], since: list[int], word: str) -> bytes:
+    def _finish(self, last: array, since: array, word: str) -> bytes:
         """Ids along the way back from the end of ``word``."""
         out: list[int] = []
         at = len(word)
@@ -198,9 +205,11 @@ class Codec:
         steps, ending, scores, known = self.steps, self.ending, self.scores, self.valid
         bpe, unknown_score = self.kind == BPE, self.unknown_score
         # by depth: state, last piece (-1: none or an unknown character), its start, best score
-        state, last, since, best = [0], [-1], [0], [0.0]
+        state, last, since, best = array("i", [0]), array("i", [-1]), array("i", [0]), array("d", [0.0])
         before = ""
         for word in words:
+            if len(known) > CACHE_PAIRS:
+                known.clear()
             keep = 0
             for a, b in zip(before, word):
                 if a != b:
@@ -258,16 +267,17 @@ class Codec:
         if self.prefix:
             lead = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", " ")
             texts = pc.binary_join_element_wise(lead.cast(pa.large_string()), texts, pa.scalar("", pa.large_string()))
-        if not self.words_split or pc.any(pc.match_substring(texts, SEPARATOR)).as_py():
+        mark = next((c for c in self.separators if not pc.any(pc.match_substring(texts, c)).as_py()), None)
+        if not self.words_split or mark is None:
             out = [[t.replace(" ", MARK)] if t else [] for t in texts.to_pylist()]
             return np.append(0, np.cumsum([len(x) for x in out])), pa.array([w for x in out for w in x], pa.large_string())
         # a separator before each run of marks and around characters that no longer piece holds
         texts = pc.replace_substring(texts, " ", MARK)
-        texts = pc.replace_substring(texts, MARK, SEPARATOR + MARK)
-        texts = pc.replace_substring(texts, MARK + SEPARATOR, MARK)
+        texts = pc.replace_substring(texts, MARK, mark + MARK)
+        texts = pc.replace_substring(texts, MARK + mark, MARK)
         for c in self.breaks:
-            texts = pc.replace_substring(texts, c, SEPARATOR + c + SEPARATOR)
-        parts = pc.split_pattern(texts, SEPARATOR)
+            texts = pc.replace_substring(texts, c, mark + c + mark)
+        parts = pc.split_pattern(texts, mark)
         words, offsets = parts.flatten(), parts.offsets.to_numpy()
         some = pc.greater(pc.binary_length(words), 0)
         kept = np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))
@@ -284,7 +294,8 @@ class Codec:
         return ids, np.append(0, np.cumsum(sizes[index], dtype=np.int64))[offsets]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """UTF-8 of each run of ids."""
+        """UTF-8 of each run of ids; those that the model has not are unknown."""
+        ids = np.where((ids >= 0) & (ids < len(self.pieces)), ids, self.unknown)
         out: list[bytes] = []
         cut = 1 if self.prefix else 0
         first = 0
@@ -311,6 +322,7 @@ def _rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of each row."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
         for batch in batches:
@@ -324,12 +336,13 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text: str = "
 def decode(rows: DataFrame, model: str, id_column: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(doc_id, text) of rows with ids; bytes that are no UTF-8 become U+FFFD."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
         for batch in batches:
             own = pc.fill_null(batch.column("ids"), [])
             offsets = own.offsets.to_numpy()
-            texts = codec.decode(own.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0])
+            texts = codec.decode(pc.fill_null(own.flatten(), codec.unknown).to_numpy(zero_copy_only=False), offsets - offsets[0])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=["doc_id", "text"])
 
     own = rows.select(F.col(id_column).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids"))
@@ -339,6 +352,7 @@ def decode(rows: DataFrame, model: str, id_column: str = "doc_id", ids: str = "i
 def digests(model: str) -> Callable:
     """Encodes, decodes and digests in one pass: ids are several times as large as their digests."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
         for batch in batches:

@@ -9,9 +9,11 @@ SHA-256 digest; the full digests then confirm a match, and the rule with the
 longest host, then the longest path, wins (block before allow on a tie).
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and
-gets the default verdict; an empty host matches nothing; repeated URLs are
-judged alike; an empty table gives an empty result; further columns are kept
-by :func:`judge` unless they are named like an output, which then wins.
+gets the default verdict; an empty host matches nothing; a very long URL is
+expanded no further than the rules are long; repeated URLs are judged alike, and
+those of one host and path, if they are a large share of the rows, are looked up
+by broadcast; an empty table gives an empty result; further columns are kept by
+:func:`judge` unless they are named like an output, which then wins.
 """
 
 from __future__ import annotations
@@ -21,9 +23,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mishear.llm._cluster import lookup, unused
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of the digest that the equi-join compares, and the most rules that are broadcast.
 SHORT_BYTES, BROADCAST_RULES = 4, 100_000
+OUTPUTS = ("host", "path", "rule", "verdict")
 
 #: (verdict, host, path): the rules of the query.
 RULES = (
@@ -77,8 +82,11 @@ def expressions(host: Column, path: Column, labels: Sequence[int], lengths: Sequ
 
 def judge(spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", default: str = "allow") -> DataFrame:
     """Adds host, path, rule and verdict to every row of ``pages``."""
-    host, path = split_url(F.col(url))
-    rows = pages.withColumns({"host": host, "path": path}).drop("rule", "verdict")
+    found, given = unused(pages, "found_verdict", "given_url")
+    rows = pages.withColumn(given, F.col(url)).drop("host", "path", "rule", "verdict")
+    host, path = split_url(F.col(given))
+    rows = rows.withColumns({"host": host, "path": path})
+    rows = rows.select(*(F.col(f"`{c}`") for c in pages.columns if c.lower() not in OUTPUTS), "host", "path")
     if not rules:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     table = rule_table(spark, rules)
@@ -99,13 +107,11 @@ def judge(spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str, str,
         .where((F.col("digest") == F.col("full")) & (F.col("labels") == F.col("rule_labels")) & (F.col("length") == F.col("rule_length")))
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule") - F.col("rule_length"), "rule_length", "rule", "rule_verdict")).alias("best"))
-        .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("_verdict"))
-    )
-    return (
-        rows.join(best, ["host", "path"], "left")
-        .withColumn("verdict", F.coalesce("_verdict", F.lit(default)))
-        .drop("_verdict")
+        .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias(found))
     )
+    with_host = lookup(rows.where(F.col("host") != ""), best, ["host", "path"])
+    without = rows.where(F.col("host") == "").withColumns({"rule": F.lit(None).cast("string"), found: F.lit(None).cast("string")})
+    return with_host.unionByName(without).withColumn("verdict", F.coalesce(found, F.lit(default))).drop(found)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
