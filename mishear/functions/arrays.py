@@ -25,10 +25,12 @@ def without(x: Column, i: Column) -> Column:
     return F.filter(x, lambda _, k: k != i)
 
 
-def first_gap(longer: Column, shorter: Column) -> Column:
-    """The least index whose removal makes the arrays equal, else null."""
+def first_gap(longer: Column, shorter: Column, fallback: bool = False) -> Column:
+    """The least index whose removal makes the arrays equal; without one null, or if asked for where the shorter one ends."""
     places = F.sequence(F.lit(0), F.size(longer) - 1)
-    return F.when(F.size(longer) > 0, F.get(F.filter(places, lambda i: without(longer, i) == shorter), F.lit(0)))
+    found = F.get(F.filter(places, lambda i: without(longer, i) == shorter), F.lit(0))
+    end = F.least(F.size(shorter), F.size(longer) - 1)
+    return F.when(F.size(longer) > 0, F.coalesce(found, end) if fallback else found)
 
 
 def only_change(a: Column, b: Column) -> Column:

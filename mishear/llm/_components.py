@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mishear.llm._cluster import checkpointed, lookup
+from mishear.llm._cluster import checkpointed
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,9 +16,10 @@ def components(edges: DataFrame) -> DataFrame:
     are drawn again between parents. In a random order a third of a path's
     vertices are least among their neighbours, so rounds are logarithmic in the
     vertices; they end when no edge joins two different ones. All groupings
-    have partial sums, and joins look up vertices with very many edges or
-    children by broadcast, so neither meets in one task. Edges and parents are
-    checkpointed, so a lost executor costs one round at most.
+    have partial sums. Joins on vertices with very many edges or children are
+    inner and left joins with a unique other side, which adaptive execution
+    splits where a partition is skewed, as nothing is grouped in the same stage. Edges and parents are checkpointed, so a
+    lost executor costs one round at most.
     """
     ids = None
     live = checkpointed(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
@@ -28,17 +29,17 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min(ordered("v")).alias("n"))
         parent = checkpointed(least.select(F.col("u").alias("id"), F.least(ordered("u"), "n")["id"].alias("root")))
         above = parent.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        parent = lookup(parent, above, ["root"], "inner").select("id", F.col("above").alias("root"))
+        parent = parent.join(above, "root").select("id", F.col("above").alias("root"))
         if ids is None:
             ids = parent = checkpointed(parent)
         else:
             parent = checkpointed(parent)
             step = parent.select(F.col("id").alias("root"), F.col("root").alias("to"))
-            ids = checkpointed(lookup(ids, step, ["root"]).select("id", F.coalesce("to", "root").alias("root")))
+            ids = checkpointed(ids.join(step, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
         left, right = (parent.select(F.col("id").alias(x), F.col("root").alias(f"{x}_root")) for x in "uv")
-        drawn = lookup(lookup(live, left, ["u"], "inner"), right, ["v"], "inner").where("u_root <> v_root")
+        drawn = live.join(left, "u").join(right, "v").where("u_root <> v_root")
         live = checkpointed(drawn.select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).distinct())
     if ids is None:
         return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).limit(0)
-    names = ids.groupBy("root").agg(F.min("id").alias("least"))
-    return lookup(ids, names, ["root"], "inner").select("id", F.col("least").alias("root"))
+    names = checkpointed(ids.groupBy("root").agg(F.min("id").alias("least")))
+    return ids.join(names, "root").select("id", F.col("least").alias("root"))

@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mishear.llm._arrow import list_array, slices, tidy
-from mishear.llm._cluster import checkpointed, lookup
+from mishear.llm._cluster import checkpointed
 from mishear.llm._components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -392,13 +392,13 @@ def _groups_of_large(large: DataFrame) -> DataFrame:
     own = large.select("digest", "n_grams", F.posexplode("bands").alias("band", "key"))
     buckets = own.groupBy("key", "band").agg(F.count("*").alias("docs"), F.sum("n_grams").alias("grams"), F.min("digest").alias("least")).where("docs > 1")
     beyond = (F.col("docs") > GROUP_DOCS) | (F.col("grams") > GROUP_GRAMS)
-    held = checkpointed(lookup(own, buckets.select("key", "band", "least", beyond.alias("large")), ["key", "band"], "inner"))
+    held = checkpointed(own.join(buckets.select("key", "band", "least", beyond.alias("large")), ["key", "band"]))
     roots = components(held.where("large").select(F.col("digest").alias("u"), F.col("least").alias("v"))).withColumnRenamed("id", "digest")
     cores = checkpointed(roots.join(large.select("digest", "n_grams"), "digest"))
     sizes = cores.groupBy("root").agg(F.count("*").alias("docs"), F.sum("n_grams").alias("grams"))
     most = lambda count, of: F.ceil(F.col(count) / F.lit(of))
     blocks = F.greatest(most("docs", BLOCK_DOCS), most("grams", GROUP_GRAMS // 2), F.least(most("docs", max(1, GROUP_DOCS // 2)), F.lit(CORE_BLOCKS))).cast("int")
-    cores = lookup(cores, sizes.select("root", blocks.alias("blocks")), ["root"], "inner")
+    cores = cores.join(sizes.select("root", blocks.alias("blocks")), "root")
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     with_each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: _group(CORE, root=F.col("root"), i=F.least(block, o), j=F.greatest(block, o), block=block))
     of_core = cores.select("digest", with_each.alias("in_core"))
@@ -421,8 +421,8 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int
     per_id = signed.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
     odd = checkpointed(per_id.where("doc_id IS NULL OR a <> b").select("doc_id", F.lit(True).alias("odd")))
     has_odd = not odd.isEmpty()
-    known = lookup(signed, odd.where("doc_id IS NOT NULL"), ["doc_id"]) if has_odd else signed.withColumn("odd", F.lit(None).cast("boolean"))
-    holder = F.min(F.when(F.col("odd").isNull(), F.col("doc_id")))
+    known = signed.join(odd, "doc_id", "left") if has_odd else signed.withColumn("odd", F.lit(None).cast("boolean"))
+    holder = F.min(F.when(F.col("odd").isNull(), F.col("doc_id")))  # null for a null id
     sets = known.groupBy("digest").agg(
         F.min("doc_id").alias("id"), holder.alias("holder"), F.count("*").alias("copies"), F.max("n_grams").alias("n_grams"), F.min("bands").alias("bands")
     )
@@ -431,8 +431,8 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int
     buckets = full.mapInArrow(near_buckets, "key long, digest binary").repartition(deal, "key")
     links = full.mapInArrow(near_links, "u binary, v binary").unionByName(buckets.mapInArrow(far_links, "u binary, v binary"))
     members = checkpointed(components(links).withColumnRenamed("id", "digest").join(sets, "digest"))
-    totals = members.groupBy("root").agg(F.count("*").alias("docs"), F.sum("n_grams").alias("grams"))
-    members = checkpointed(lookup(members, totals, ["root"], "inner"))
+    totals = checkpointed(members.groupBy("root").agg(F.count("*").alias("docs"), F.sum("n_grams").alias("grams")))  # apart, so that the join can split a root
+    members = checkpointed(members.join(totals, "root"))
     fits = (F.col("docs") <= GROUP_DOCS) & (F.col("grams") <= GROUP_GRAMS)
     none = F.transform("bands", lambda _: F.lit(False))
     placed = members.where(fits).select("digest", "copies", "bands", none.alias("large"), F.array(_group(WHOLE, root=F.col("root"))).alias("groups"))
@@ -444,7 +444,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int
     by_id = texts.join(held.where("holder IS NOT NULL"), texts["doc_id"] == F.col("holder")).select("digest", "text")
     if has_odd:
         loose = texts.join(F.broadcast(odd.where("doc_id IS NULL").limit(1).select(F.lit(True).alias("some"))), texts["doc_id"].isNull(), "left_semi")
-        loose = loose.unionByName(lookup(texts, odd.where("doc_id IS NOT NULL"), ["doc_id"], "inner").drop("odd"))
+        loose = loose.unionByName(texts.join(odd, "doc_id").drop("odd"))
         loose = digested(loose, n=n).groupBy("digest").agg(F.min("text").alias("text"))
         by_id = by_id.unionByName(loose.join(held.where("holder IS NULL").select("digest"), "digest").select("digest", "text"))
     rows_of = by_id.join(placed, "digest").mapInArrow(hashed(n), MEMBER_SCHEMA + ", grams array<long>")
@@ -457,9 +457,9 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int
         found = found.join(whole, "digest", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
     classes = sets.select("digest", "id", "copies").join(found, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     classes = checkpointed(classes)
-    names = classes.groupBy("root").agg(F.min("id").alias("class_id"))
-    classes = lookup(classes, names, ["root"], "inner")
-    return lookup(signed.select("doc_id", "digest", "n_grams"), classes, ["digest"], "inner").select(
+    names = checkpointed(classes.groupBy("root").agg(F.min("id").alias("class_id")))
+    classes = classes.join(names, "root")
+    return signed.select("doc_id", "digest", "n_grams").join(classes, "digest").select(
         "doc_id",
         "class_id",
         F.col("id").alias("copy_id"),

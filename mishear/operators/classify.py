@@ -7,24 +7,32 @@ from pyspark.sql import functions as F
 
 from mishear.functions import text as t
 from mishear.functions.arrays import edit_distance
-from mishear.operators.keys import compatible_as
 
 #: All categories, in the order of reports.
 CATEGORIES = (
-    "normalization_alias number_reading_mixed cross_language_transliteration english_word_acronym zh_same_pinyin zh_single_syllable "
-    "zh_multi_syllable_near zh_phonetic_distant other_review"
-).split()
-
-
-def category(a: Column, b: Column, s: Column, u: Column, c: Column, d: Column) -> Column:
-    """The first rule that holds; s and u are the readings of a and b as toneless syllables, null if unknown, c and d their NFKC forms."""
+    "normalization_alias",
+    "number_reading_mixed",
+    "cross_language_transliteration",
+    "english_word_acronym",
+    "zh_same_pinyin",
+    "zh_single_syllable",
+    "zh_multi_syllable_near",
+    "zh_distant_semantic",
+    "other_review",
+)
+#: Those of which variants are made.
+PREPROCESSED = ("number_reading_mixed", "cross_language_transliteration", "english_word_acronym", "zh_same_pinyin", "zh_single_syllable")
+
+
+def category(a: Column, b: Column, s: Column, u: Column) -> Column:
+    """The first rule that holds; s and u are the readings of a and b as toneless syllables, null if unknown."""
     distance = edit_distance(s, u)
     profile = t.script_profile(a)
     english = ~profile["han"] & ~t.script_profile(b)["han"] & profile["latin"]
     han = t.all_han(a, True) & t.all_han(b, True) & s.isNotNull() & u.isNotNull()
     return (
-        F.when(t.compact_key(c) == t.compact_key(d), CATEGORIES[0])
-        .when((a.rlike(r"\p{Nd}") | b.rlike(r"\p{Nd}")) & t.number_reading(c, d), CATEGORIES[1])
+        F.when(t.compact_key(a) == t.compact_key(b), CATEGORIES[0])
+        .when(t.number_reading(a, b), CATEGORIES[1])
         .when(t.cross_language(a, b), CATEGORIES[2])
         .when(english, CATEGORIES[3])
         .when(han & (distance == 0), CATEGORIES[4])
@@ -37,12 +45,10 @@ def category(a: Column, b: Column, s: Column, u: Column, c: Column, d: Column) -
 
 def classify(pairs: DataFrame, readings: DataFrame | None = None) -> DataFrame:
     """Adds ``category`` to (canonical, confusion); readings: (text, syllables)."""
-    pairs = compatible_as(pairs, _c="canonical", _d="confusion")
-    forms = F.col("_c"), F.col("_d")
     if readings is None:
         none = F.lit(None).cast("array<string>")
-        return pairs.withColumn("category", category(F.col("canonical"), F.col("confusion"), none, none, *forms)).drop("_c", "_d")
+        return pairs.withColumn("category", category(F.col("canonical"), F.col("confusion"), none, none))
     plain = readings.select("text", F.transform("syllables", t.toneless).alias("s"))
     out = pairs.join(plain.select(F.col("text").alias("canonical"), F.col("s").alias("_s")), "canonical", "left")
     out = out.join(plain.select(F.col("text").alias("confusion"), F.col("s").alias("_u")), "confusion", "left")
-    return out.withColumn("category", category(F.col("canonical"), F.col("confusion"), F.col("_s"), F.col("_u"), *forms)).drop("_s", "_u", "_c", "_d")
+    return out.withColumn("category", category(F.col("canonical"), F.col("confusion"), F.col("_s"), F.col("_u"))).drop("_s", "_u")

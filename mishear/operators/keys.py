@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: Strings with none of these characters are their own compatibility form.
-CHANGED = r"[\x{a0}\x{a8}\x{aa}\x{af}\x{b2}-\x{b5}\x{b8}-\x{ba}\x{bc}-\x{be}\x{100}-\x{10ffff}]"
-
 
-@F.pandas_udf(T.StringType())
-def _nfkc(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+from mishear.functions import text as t
 
 
 def compatible(df: DataFrame, column: str) -> DataFrame:
-    """``column`` in NFKC. Only distinct strings that may change leave the JVM."""
-    distinct = df.select(F.col(column).alias("_from")).where(F.col("_from").rlike(CHANGED)).distinct()
-    forms = distinct.withColumn("_to", _nfkc("_from"))
-    return df.join(forms, df[column] == forms["_from"], "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
-
-
-def compatible_as(df: DataFrame, **columns: str) -> DataFrame:
-    """Adds columns with the NFKC forms of others: new name = old name."""
-    for new, old in columns.items():
-        df = compatible(df.withColumn(new, F.col(old)), new)
-    return df
+    """``column`` in NFKC."""
+    return df.withColumn(column, t.compatible(F.col(column)))
 
 
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:

@@ -29,9 +29,17 @@ def merge(ranges: DataFrame, track: str, gap) -> DataFrame:
     return islands(ranges, track, "start", "end", F.lit(gap) + 1).withColumnRenamed("frames", "parts")
 
 
+def speech(frames: DataFrame, track: str, threshold: float, silence: int = 500, least: int = 200, padding: int = 100, gap: int = 100) -> DataFrame:
+    """(track, start, end) of speech in frames (track, start, end, energy, duration): sessions, padded, those that meet merged."""
+    active = frames.where(F.col("energy") >= threshold)
+    sessions = islands(active, track, "start", "end", silence)
+    lengths = frames.groupBy(track).agg(F.max("end").alias("duration"))
+    padded = pad(sessions.join(lengths, track), least, padding, F.col("duration"))
+    return merge(padded.select(track, "start", "end"), track, gap).select(track, "start", "end")
+
+
 def segments(pcm: DataFrame, ranges: DataFrame, track: str, bytes_per_ms: int = 32) -> DataFrame:
     """Byte-exact slices of 16-bit samples with their digests."""
-    cut = F.substring("pcm", 1, 0)
     joined = pcm.join(ranges, track)
     cut = joined["pcm"].substr(F.col("start") * bytes_per_ms + 1, (F.col("end") - F.col("start")) * bytes_per_ms)
     return joined.withColumn("segment", cut).withColumn("sha256", F.sha2("segment", 256)).drop("pcm")

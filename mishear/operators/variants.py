@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mishear.functions import text as t
 from mishear.functions.arrays import replaced, without
-from mishear.operators.keys import compatible, first_by, top
+from mishear.operators.keys import first_by, top
 from mishear.operators.syllables import character_words, reading_key
 
 # Devoicing at the end of a word, and consonants that are taken for each other.
@@ -98,7 +98,7 @@ def fuzzy_mutations(df: DataFrame, rules: DataFrame, key: str = "term", syllable
     p = t.pinyin_parts(F.col("syllable"))
     kinds = F.array(*(F.struct(F.lit(k).alias("type"), p[k].alias("source")) for k in ("initial", "final")))
     parts = parts.select("*", p.alias("p"), F.inline(kinds))
-    joined = parts.join(F.broadcast(rules), ["type", "source"])  # a rule table has some dozens of rows
+    joined = parts.join(rules, ["type", "source"])  # a rule table has some dozens of rows, which Spark sees and broadcasts
     made = F.when(F.col("type") == "initial", F.concat("target", "p.final", "p.tone")).otherwise(F.concat("p.initial", "target", "p.tone"))
     return joined.select(key, "i", "level", "type", "source", "target", replaced(F.col("base"), F.col("i"), made).alias("variant"))
 
@@ -110,7 +110,7 @@ def carriers(mutations: DataFrame, lexicon: DataFrame, n: int, key: str = "term"
     """
     group = [key, "i", "rule_id"] if "rule_id" in mutations.columns else [key, "i", "type", "source", "target"]
     m = mutations.withColumn("_r", reading_key(F.col("variant")))
-    words = lexicon.withColumn("_r", reading_key(F.col("syllables"))).groupBy("_r", "word").agg(F.max("weight").alias("score"))
+    words = lexicon.withColumn("_r", reading_key(F.col("syllables"))).join(m.select("_r").distinct(), "_r", "left_semi").groupBy("_r", "word").agg(F.max("weight").alias("score"))
     built = character_words(mutations, lexicon).withColumn("_r", reading_key(F.col("variant"))).select("_r", "word", "score")
     every = words.withColumn("last", F.lit(0)).unionByName(built.withColumn("last", F.lit(1)))
     every = first_by(every, ["_r", "word"], "last")
@@ -118,27 +118,27 @@ def carriers(mutations: DataFrame, lexicon: DataFrame, n: int, key: str = "term"
 
 
 def readings(df: DataFrame, term: str = "term", cap: int = 6) -> DataFrame:
-    """Ways to read an English term; none depends on what it is confused with."""
-    x = F.col(term)
-    words = F.split(t.camel_split(x), " ")
-    first, rest = F.get(words, F.lit(0)), F.slice(words, 2, 1000)
-    many = F.size(words) > 1
+    """Ways to read an English term; none depends on what it is confused with. Terms without Latin letters have none."""
+    x = F.trim(F.col(term))
+    split = t.camel_split(x)
+    words = F.size(F.filter(F.split(split, " "), lambda w: w.rlike("^[A-Za-z]+$")))
     kinds = {
-        "camel_alnum_split": t.camel_split(x),
+        "camel_alnum_split": split,
         "separator_collapsed": t.separators_collapsed(x),
-        "all_letters_spelled": t.spelled(x),
+        "all_letters_spelled": t.latin_spelled(x),
         "uppercase_runs_spelled": t.upper_runs_spelled(x),
-        "camel_prefix_spelled": F.when(many, F.concat_ws(" ", t.spelled(first), F.array_join(rest, " "))),
-        "camel_suffix_spelled": F.when(many, F.concat_ws(" ", F.array_join(F.slice(words, 1, F.size(words) - 1), " "), t.spelled(F.element_at(words, -1)))),
+        "camel_prefix_spelled": F.when(words > 1, t.word_spelled(split, F.lit(0))),
+        "camel_suffix_spelled": F.when(words > 1, t.word_spelled(split, words - 1)),
     }
     made = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("reading")) for k, v in kinds.items()))
-    rows = df.where(x != "").select(term, F.posexplode(made).alias("seq", "v")).select(term, "seq", "v.kind", "v.reading")
-    rows = rows.where(F.col("reading").isNotNull() & (F.col("reading") != "")).withColumn("_k", t.normalized(F.col("reading")))
-    return top(first_by(rows.where(F.col("_k") != t.normalized(x)), [term, "_k"], "seq"), [term], cap, "seq").drop("_k")
+    key = lambda c: t.casefold(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    rows = df.where(x.rlike("[A-Za-z]")).select(term, F.posexplode(made).alias("seq", "v")).select(term, "seq", "v.kind", "v.reading")
+    rows = rows.where(F.col("reading").isNotNull() & (F.col("reading") != "")).withColumn("_k", key(F.col("reading")))
+    return top(first_by(rows.where(F.col("_k") != key(x)), [term, "_k"], "seq"), [term], cap, "seq").drop("_k")
 
 
 def without_leaks(variants: DataFrame, targets: DataFrame, term: str, text: str) -> DataFrame:
     """Variants that spell out a known confusion of their term go."""
-    own = compatible(targets.select(term, F.col("confusion").alias("_t")), "_t").withColumn("_t", t.normalized(F.col("_t")))
-    keyed = compatible(variants.withColumn("_t", F.col(text)), "_t").withColumn("_t", t.normalized(F.col("_t")))
+    own = targets.select(term, t.normalized(F.col("confusion")).alias("_t"))
+    keyed = variants.withColumn("_t", t.normalized(F.col(text)))
     return keyed.join(own, [term, "_t"], "left_anti").drop("_t")

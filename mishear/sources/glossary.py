@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mishear.functions.text import spacing_key
-from mishear.operators.keys import compatible, compatible_as, first_by
+from mishear.functions.text import compact_key, spacing_key
+from mishear.operators.keys import first_by
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -23,14 +23,14 @@ def parse_terms(rows: DataFrame, merge: bool = True) -> DataFrame:
     """
     kept = rows.where(~F.trim("line").startswith("#") & (F.trim("line") != ""))
     fields = F.transform(F.split("line", r"\|", -1), lambda x: F.trim(x))
-    kept = kept.select("seq", F.get(fields, F.lit(0)).alias("canonical"), F.slice(fields, 2, 10_000).alias("rest"))
-    kept = compatible_as(kept, term_key="canonical").withColumn("term_key", spacing_key(F.col("term_key"))).where("term_key <> ''")
+    kept = kept.select("seq", F.get(fields, F.lit(0)).alias("canonical"), F.slice(fields, 2, F.size(fields)).alias("rest"))
+    kept = kept.withColumn("term_key", spacing_key(F.col("canonical"))).where("term_key <> ''")
     group = ["term_key"] if merge else ["term_key", "seq"]
     entries = kept.groupBy(*group).agg(
         F.min_by("canonical", "seq").alias("canonical"), F.min("seq").alias("first_seq"), F.array_sort(F.collect_list("seq")).alias("lines")
     )
     pairs = kept.select(*group, F.col("seq").alias("at"), F.posexplode("rest").alias("pos", "confusion"))
-    pairs = compatible_as(pairs, conf_key="confusion").withColumn("conf_key", spacing_key(F.col("conf_key"))).where("conf_key <> '' AND conf_key <> term_key")
+    pairs = pairs.withColumn("conf_key", spacing_key(F.col("confusion"))).where("conf_key <> '' AND conf_key <> term_key")
     pairs = first_by(pairs, [*group, "conf_key"], "at", "pos")
     lists = pairs.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("at", "pos", "confusion"))).alias("c"))
     out = entries.join(lists, group, "left")
@@ -38,17 +38,58 @@ def parse_terms(rows: DataFrame, merge: bool = True) -> DataFrame:
     return out.select("term_key", "canonical", F.col("first_seq").alias("seq"), "lines", F.coalesce(F.col("c.confusion"), none).alias("confusions"))
 
 
-def sample_ids(entries: DataFrame) -> DataFrame:
-    """Numbers in first-seen order with a digest. A glossary is small: one task numbers it."""
-    from pyspark.sql import Window
+def checked(entries: DataFrame) -> DataFrame:
+    """Fails if there are no terms."""
+    if entries.isEmpty():
+        raise ValueError("the glossary has no terms")
+    return entries
 
-    number = F.row_number().over(Window.orderBy("seq"))
-    return entries.withColumn("sample_id", F.format_string("gt-%04d-%s", number, F.substring(F.sha2("canonical", 256), 1, 10)))
+
+def sample_ids(entries: DataFrame, slot: int = 4096) -> DataFrame:
+    """Numbers in first-seen order with a digest.
+
+    Lines are numbered within slots of ``slot`` lines, and a sum over the slots before makes that a number: no task
+    sorts all entries.
+    """
+    slots = entries.withColumn("_slot", F.floor(F.col("seq") / F.lit(slot)))
+    counts = slots.groupBy("_slot").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))  # one row a slot
+    before = counts.select("_slot", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_slot").orderBy("seq")) + F.col("_before")
+    numbered = slots.join(before, "_slot").withColumn("_number", number)
+    return numbered.withColumn("sample_id", F.format_string("gt-%04d-%s", "_number", F.substring(F.sha2("canonical", 256), 1, 10))).drop("_slot", "_before", "_number")
+
+
+def strict_lines(rows: DataFrame) -> DataFrame:
+    """Lines of a glossary; fails, when it runs, on one whose term has no key."""
+    term = F.trim(F.get(F.split("line", r"\|", -1), F.lit(0)))
+    skipped = F.trim("line").startswith("#") | (F.trim("line") == "")
+    ok = F.assert_true(skipped | (spacing_key(term) != ""), F.concat(F.lit("empty term in line "), F.col("seq").cast("string")))
+    return rows.where(F.coalesce(ok.isNull(), F.lit(True)))
+
+
+def lexicon(entries: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """(cand_key, spellings) of all terms, confusions and ``extra`` (seq, word), by compact key, spellings as first seen."""
+    terms = entries.select(F.lit(0).alias("part"), F.col("seq"), F.lit(0).alias("pos"), F.col("canonical").alias("word"))
+    known = entries.select(F.lit(1).alias("part"), F.col("seq"), F.posexplode("confusions").alias("pos", "word"))
+    words = terms.unionByName(known)
+    if extra is not None:
+        words = words.unionByName(extra.select(F.lit(2).alias("part"), F.col("seq"), F.lit(0).alias("pos"), F.trim("word").alias("word")))
+    keyed = words.withColumn("cand_key", compact_key(F.col("word"))).where("cand_key <> ''")
+    first = keyed.groupBy("cand_key", "word").agg(F.min(F.struct("part", "seq", "pos")).alias("at"))
+    lists = first.groupBy("cand_key").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
+    return lists.select("cand_key", F.col("w.word").alias("spellings"))
 
 
 def fuzzy_rules(spark: SparkSession, path: str) -> DataFrame:
     """Syllable rules; the first of each (type, source, target)."""
-    rows = spark.read.option("comment", "#").option("header", True).csv(path).withColumn("seq", F.monotonically_increasing_id())
+    own = lines(spark, path).where("trim(line) <> '' AND NOT startswith(trim(line), '#')")
+    head = own.orderBy("seq").first()
+    names = [n.strip() for n in head["line"].split(",")] if head else []
+    if missing := {"type", "source", "target", "level", "origin"} - set(names):
+        raise ValueError(f"rule table lacks {sorted(missing)}")
+    parts = F.split("line", ",", -1)
+    rows = own.where(F.col("seq") > head["seq"]).select("seq", *(F.trim(F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(names)))
     rows = rows.where(F.col("type").isin("initial", "final") & (F.col("level").cast("int") >= 1))
     return first_by(rows, ["type", "source", "target"], "seq").drop("seq").withColumn("level", F.col("level").cast("int"))
 
@@ -56,7 +97,7 @@ def fuzzy_rules(spark: SparkSession, path: str) -> DataFrame:
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Distinct keys of ``word``, ``word<TAB>n`` or ``word n`` lines."""
     rows = spark.read.text(path).where("trim(value) <> '' AND NOT startswith(trim(value), '#')")
-    words = compatible(rows.select(F.regexp_extract("value", r"^\s*(.*?)(?:[\t ]+\d+)?\s*$", 1).alias("key")), "key")
+    words = rows.select(F.regexp_extract("value", r"^\s*(.*?)(?:[\t ]+\d+)?\s*$", 1).alias("key"))
     return words.select(spacing_key(F.col("key")).alias("key")).where("key <> ''").distinct()
 
 
@@ -64,7 +105,7 @@ def weighted_dictionary(spark: SparkSession, path: str, least: int = 5000) -> Da
     parts = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).select(F.get(parts, F.lit(0)).alias("word"), F.size(parts).alias("n"), F.element_at(parts, -1).alias("weight"))
     words = rows.where(F.col("n") >= 3).where(F.col("weight").rlike(r"^\d+$")).where(F.col("weight").cast("long") >= least)
-    return compatible(words.select(F.col("word").alias("key")), "key").select(spacing_key(F.col("key")).alias("key")).distinct()
+    return words.select(spacing_key(F.col("word")).alias("key")).distinct()
 
 
 def character_frequencies(spark: SparkSession, path: str) -> DataFrame:

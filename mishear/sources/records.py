@@ -21,14 +21,33 @@ def read_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def some(df: DataFrame) -> DataFrame:
+    """Fails if there are no rows."""
+    if df.isEmpty():
+        raise ValueError("there are no rows")
+    return df
+
+
+META = T.StructType([T.StructField(n, T.StringType()) for n in ("fingerprint", "sampling", "language", "prompt")])
+
+
 def read_results(spark: SparkSession, folder: str, schema: T.StructType = RESULT) -> DataFrame:
-    """Runs below ``folder``: condition and repeat come from the path results/<condition>/run-<n>.jsonl."""
+    """Runs below ``folder`` with their settings: condition and repeat come from the path results/<condition>/run-<n>.jsonl,
+    settings from run-<n>.jsonl.meta.json beside it; where that is missing or damaged they are null.
+    """
     path = F.col("_metadata.file_path")
-    return read_records(spark, f"{folder}/results/*/run-*.jsonl", schema).select(
+    runs = read_records(spark, f"{folder}/results/*/run-*.jsonl", schema).select(
         "*",
         F.regexp_extract(path, r"/results/([^/]+)/run-", 1).alias("condition"),
         F.regexp_extract(path, r"run-(\d+)\.jsonl$", 1).cast("int").alias("repeat"),
     )
+    meta = spark.read.schema(META).option("multiLine", True).option("pathGlobFilter", "run-*.jsonl.meta.json").option("recursiveFileLookup", True).json(f"{folder}/results")
+    meta = meta.select(
+        F.regexp_extract(path, r"/results/([^/]+)/run-", 1).alias("condition"),
+        F.regexp_extract(path, r"run-(\d+)\.jsonl\.meta\.json$", 1).cast("int").alias("repeat"),
+        *META.fieldNames(),
+    )
+    return runs.join(meta, ["condition", "repeat"], "left")
 
 
 def required(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -47,12 +66,11 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.json(path, ignoreNullFields=False)
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """CSV with sorted columns; nested values as JSON."""
-    nested = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))}
-    df.select(*((F.to_json(c) if c in nested else F.col(c)).alias(c) for c in sorted(df.columns))).write.csv(path, header=True)
-
-
 def term_lines(df: DataFrame, term: str = "canonical", candidates: str = "candidates") -> DataFrame:
     """``term|candidate|...`` lines."""
     return df.select(F.concat_ws("|", F.col(term), F.array_join(candidates, "|")).alias("value"))
+
+
+def write_in_order(df: DataFrame, path: str, order: str) -> None:
+    """One object a line in the order of a column, however rows were completed."""
+    df.orderBy(order).write.json(path, ignoreNullFields=False)
