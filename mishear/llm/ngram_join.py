@@ -417,9 +417,9 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int
     bands, rows = banding(threshold, recall)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = checkpointed(texts.mapInArrow(sign(bands, rows, n), "doc_id long, digest binary, n_grams long, bands array<long>"))
-    # ids that do not name one set: null, or of several
-    per_id = signed.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
-    odd = checkpointed(per_id.where("doc_id IS NULL OR a <> b").select("doc_id", F.lit(True).alias("odd")))
+    # ids that do not name one row: null, or repeated
+    per_id = signed.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    odd = checkpointed(per_id.where("doc_id IS NULL OR rows > 1").select("doc_id", F.lit(True).alias("odd")))
     has_odd = not odd.isEmpty()
     known = signed.join(odd, "doc_id", "left") if has_odd else signed.withColumn("odd", F.lit(None).cast("boolean"))
     holder = F.min(F.when(F.col("odd").isNull(), F.col("doc_id")))  # null for a null id

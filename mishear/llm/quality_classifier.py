@@ -14,8 +14,8 @@ Arrow batches with a weight table of fixed size.
 Defined cases: null and empty texts score by the thresholds alone; labels that
 are null, or of no document, are left out; if the labels have fewer than two
 grades nothing is fitted, and every row gets the one grade (0 if there is none)
-and is kept; repeated rows are scored each; an empty table gives no rows;
-further columns stay, but for those named like an output, which wins.
+and is kept; repeated rows are scored each; a very long text is one task's work;
+an empty table gives no rows; further columns stay, but for those named like an output, which wins.
 """
 
 from __future__ import annotations
