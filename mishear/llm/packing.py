@@ -40,10 +40,12 @@ from mishear.llm._arrow import gather, slices, spans, tidy
 from mishear.llm._cluster import checkpointed
 
 CAPACITY, END_ID = 2048, 0
+#: Text that is tokenized at once: each distinct word of it once.
+TOKENIZED_BYTES = 8 << 20
 #: Pieces of one length that a task numbers at most, about.
 SALT_ROWS = 200_000
 #: Words that a worker remembers between slices.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -149,7 +151,7 @@ def tokenize_pieces(path: str, capacity: int, end_id: int) -> Callable:
         tokenizer = tokenizer_of(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TOKENIZED_BYTES):
                 ids, offsets = tokenizer.texts(part.column("text"))
                 data = memoryview(np.ascontiguousarray(ids)).cast("B")
                 length = np.diff(offsets) + 1
