@@ -947,4 +947,7 @@ def pcm_stats(spark, d):
 
 @query("first_wins", "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1")
 def first_wins(spark, d):
-    return first_by(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), ["l_orderkey"], "l_linenumber")
+    """Of rows that tie, the first in the table wins, as in DuckDB on one thread."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", *place)
+    return first_by(rows, ["l_orderkey"], F.asc_nulls_last("l_linenumber"), "file", "at").drop("file", "at")

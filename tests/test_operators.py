@@ -208,3 +208,21 @@ def test_keys_see_through_compatibility_forms(spark, tmp_path):
     made = spark.createDataFrame([("a", "Ｐｏｘ"), ("a", "Fox")], "term string, text string")
     targets = spark.createDataFrame([("a", "pox")], "term string, confusion string")
     assert [r.text for r in variants.without_leaks(made, targets, "term", "text").collect()] == ["Fox"]
+
+
+def test_first_wins_by_place_in_the_table(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    for k, n in enumerate((300, 40_000, 9_000)):  # Spark reads large files first
+        ids = spark.range(0, n, 1, 1)
+        number = F.when(F.col("id") % 11 < 9, (F.col("id") % 3).cast("int"))  # with nulls
+        key = F.when(F.col("id") % 3001 > 0, F.pmod(F.xxhash64("id"), F.lit(3000)))
+        rows = ids.select(key.alias("l_orderkey"), (F.col("id") + k * 1_000_000).alias("l_partkey"), number.alias("l_linenumber"))
+        rows.union(rows.where("id < 200").select("l_orderkey", "l_partkey", F.lit(None).cast("int").alias("l_linenumber"))).coalesce(1).write.parquet(str(tmp_path / f"made-{k}"))
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        next((tmp_path / f"made-{k}").glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"{k}.parquet")
+    base = duckdb.connect()
+    base.execute("SET threads = 1")
+    base.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = base.execute(catalog.SQL["first_wins"]).fetchall()
+    got = [tuple(x) for x in catalog.QUERIES["first_wins"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
