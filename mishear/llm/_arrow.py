@@ -14,6 +14,31 @@ import pyarrow.compute as pc
 SLICE_BYTES = 2 << 20
 
 
+#: What functions of this package remember in a worker, and the module that the last one belongs to.
+REMEMBERED: list[Callable] = []
+serving = ""
+
+
+def remembered(most: int) -> Callable[[Callable], Callable]:
+    """An lru_cache that is emptied once the worker serves another module."""
+
+    def cached(f: Callable) -> Callable:
+        REMEMBERED.append(own := functools.lru_cache(maxsize=most)(f))
+        return own
+
+    return cached
+
+
+def begin(module: str) -> None:
+    """Drops what the functions of another module left in this worker."""
+    global serving
+    if module != serving:
+        for f in REMEMBERED:
+            f.cache_clear()
+        serving = module
+        give_back()
+
+
 def give_back() -> None:
     """Returns memory that is free in this worker to the system, for the JVM and other workers beside it."""
     pa.default_memory_pool().release_unused()
@@ -29,6 +54,7 @@ def tidy(run: Callable) -> Callable:
 
     @functools.wraps(run)
     def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(run.__module__)
         try:
             yield from run(batches)
         finally:
@@ -36,11 +62,13 @@ def tidy(run: Callable) -> Callable:
 
     @functools.wraps(run)
     def of_table(table: pa.Table) -> pa.Table:
+        begin(run.__module__)
         give_back()
         return run(table)
 
     @functools.wraps(run)
     def of_tables(table: pa.Table, other: pa.Table) -> pa.Table:
+        begin(run.__module__)
         give_back()
         return run(table, other)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mishear.llm._arrow import list_array, slices, tidy
+from mishear.llm._arrow import list_array, remembered, slices, tidy
 
 #: Buckets of the hash, a power of two.
 BUCKETS = 1 << 18
@@ -22,7 +21,7 @@ WINDOW = 12
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~«»„“”¡¿…"
 
 
-@lru_cache(maxsize=100_000)
+@remembered(100_000)
 def bucket(text: str, kind: int) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), kind) & (BUCKETS - 1)
 

@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mishear.llm._arrow import list_array, slices, tidy
+from mishear.llm._arrow import list_array, remembered, slices, tidy
 from mishear.llm._cluster import checkpointed
 from mishear.llm._components import components
 
@@ -88,7 +88,7 @@ def _multipliers(n: int) -> np.ndarray:
     return _mixed(np.arange(1, n + 1, dtype=np.uint64) * ODD) | np.uint64(1)
 
 
-@lru_cache(maxsize=100_000)
+@remembered(100_000)
 def _word(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode())
 

@@ -28,7 +28,6 @@ from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mishear.llm._arrow import gather, slices, spans, tidy
+from mishear.llm._arrow import gather, remembered, slices, spans, tidy
 from mishear.llm._cluster import checkpointed
 
 CAPACITY, END_ID = 2048, 0
@@ -139,7 +138,7 @@ class WordTokenizer:
         return ids, np.append(0, np.cumsum(sizes[index], dtype=np.int64))[offsets - offsets[0]]
 
 
-@lru_cache(maxsize=2)
+@remembered(2)
 def tokenizer_of(path: str) -> WordTokenizer:
     """One for each worker, so that it remembers words from task to task."""
     return WordTokenizer(path)

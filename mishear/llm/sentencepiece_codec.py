@@ -33,7 +33,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mishear.llm._arrow import gather, list_array, slices, tidy
+from mishear.llm._arrow import gather, list_array, remembered, slices, tidy
 
 MARK = "▁"
 #: Words that a worker remembers between slices, text that is encoded at once (the more, the more prefixes are
@@ -309,7 +308,7 @@ class Codec:
         return out
 
 
-@lru_cache(maxsize=2)
+@remembered(2)
 def codec_of(path: str) -> Codec:
     """One for each worker, so that it remembers words from task to task."""
     return Codec(path)

@@ -57,7 +57,7 @@ from mishear.llm._cluster import unused
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, ANCHOR = 100, 32
 #: Bytes of text in a chunk, and window starts that are hashed at once (a power of two bounds them).
-CHUNK_BYTES, BLOCK_BITS = 12 << 20, 20
+CHUNK_BYTES, BLOCK_BITS = 6 << 20, 18
 #: Bytes of text for each part of the merge, text that is worth a task of its own, and parts that runs are split into at once.
 PART_BYTES, TASK_BYTES, FAN = 16 << 20, 1 << 20, 1024
 #: The id that a null one counts as.
@@ -98,12 +98,15 @@ class Chunk:
         texts = pc.fill_null(table["text"].cast(pa.large_binary()), b"")
         ids = pc.fill_null(table["doc_id"], NO_ID)
         order = pc.sort_indices(pa.table({"d": ids, "t": texts}), sort_keys=[("d", "ascending"), ("t", "ascending")])
-        self.table = table.take(order)
-        self.texts = texts.take(order).combine_chunks()
-        if isinstance(self.texts, pa.ChunkedArray):
-            self.texts = pa.concat_arrays(self.texts.chunks) if self.texts.num_chunks else pa.array([], pa.large_binary())
-        self.data = np.frombuffer(b"".join(self.texts.to_pylist()), np.uint8)
-        self.bounds = np.append(0, np.cumsum(pc.binary_length(self.texts).to_numpy(zero_copy_only=False).astype(np.int64)))
+        self.order = order
+        own = texts.take(order).combine_chunks()
+        del texts
+        if isinstance(own, pa.ChunkedArray):
+            own = pa.concat_arrays(own.chunks) if own.num_chunks else pa.array([], pa.large_binary())
+        self.bounds = np.append(0, np.cumsum(pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64)))
+        at = int(np.frombuffer(own.buffers()[1], np.int64, 1, 8 * own.offset)[0]) if len(own) else 0
+        self.raw = own.buffers()[2].slice(at, int(self.bounds[-1])).to_pybytes() if self.bounds[-1] else b""
+        self.data = np.frombuffer(self.raw, np.uint8)
         self.ids = ids.take(order).to_numpy()
 
     def doc(self, places: np.ndarray) -> np.ndarray:
@@ -171,7 +174,7 @@ class Records:
 
 def strings(chunk: Chunk, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Suffixes at anchors and reversed prefixes before them, as far as the windows reach."""
-    data = chunk.data.tobytes()
+    data = chunk.raw
     right = [data[a:b] for a, b in zip(at.tolist(), (last + LENGTH).tolist())]
     left = [data[a:b][::-1] for a, b in zip(first.tolist(), at.tolist())]
     return right, left
@@ -327,6 +330,25 @@ def ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)]
 
 
+def open_before(gone: np.ndarray) -> np.ndarray:
+    """How many places are not gone, of those before each one."""
+    kept = np.zeros(len(gone), np.int32 if len(gone) < 1 << 31 else np.int64)
+    np.cumsum(~gone[:-1], dtype=kept.dtype, out=kept[1:])
+    return kept
+
+
+def covered(size: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether a range [first, end) covers each of ``size`` places."""
+    edge = np.zeros(size + 1, np.int8)
+    if len(first):
+        order = np.argsort(first, kind="stable")
+        first, end = first[order], np.maximum.accumulate(end[order])
+        apart = np.append(True, first[1:] > end[:-1])
+        edge[first[apart]] = 1
+        edge[end[np.append(apart[1:], True)]] = -1
+    return np.cumsum(edge, dtype=np.int8, out=edge)[:-1].view(bool)
+
+
 # the four steps
 
 
@@ -400,19 +422,19 @@ def runs_of_chunk(parts: int, levels: list[int], chunk_name: str = "chunk") -> C
         # what is left of the windows of anchors that others have
         send = np.flatnonzero(is_far)
         if len(send):
-            kept = np.append(0, np.cumsum(~gone[:-1]))
+            kept = open_before(gone)
             open_ = kept[last[send] + 1] > kept[first[send]]
             send = send[open_]
         if len(send):
             f, l = first[send], last[send]
-            left_at = np.flatnonzero(~gone[:-1])
-            f, l = left_at[kept[f]], left_at[kept[l + 1] - 1]
+            f, l = (np.searchsorted(kept, x) - 1 for x in (kept[f] + 1, kept[l + 1]))  # the first and the last that are open
+            del kept
             a, h, hot_one = at[send], hashes[send], is_hot[send]
             if hot_one.any():  # one record for each window, dealt by the window's hash
                 many = np.flatnonzero(hot_one)
                 size = (l - f + 1)[many]
                 start = np.repeat(f[many], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                data = chunk.data.tobytes()
+                data = chunk.raw
                 dealt = np.array([xxhash.xxh64_intdigest(data[s : s + LENGTH]) for s in start.tolist()], np.uint64)
                 one = ~hot_one
                 a, f, l, h = np.append(a[one], np.repeat(a[many], size)), np.append(f[one], start), np.append(l[one], start), np.append(h[one], dealt)
@@ -523,31 +545,24 @@ def remove(columns: list[str], whole: bool) -> Callable[[pa.Table, pa.Table], pa
     @tidy
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         chunk = Chunk(table)
-        edge = np.zeros(len(chunk.data) + 1, np.int32)
-        for d in told["data"].to_pylist():
-            first, last = unpacked(d, "<i8", "<i8")
-            np.add.at(edge, first, 1)
-            np.add.at(edge, last + LENGTH, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        total = np.append(0, np.cumsum(gone))
-        rise = gone.copy()
-        rise[1:] &= ~gone[:-1]
-        inner = chunk.bounds[:-1][chunk.bounds[:-1] < len(gone)]
-        rise[inner] = gone[inner]  # a span ends with its document
-        spans = np.append(0, np.cumsum(rise))
-        a, b = chunk.bounds[:-1], chunk.bounds[1:]
-        texts = chunk.texts.to_pylist()
-        kept = []
-        for i in range(len(texts)):
-            n = int(total[b[i]] - total[a[i]])
-            kept.append(texts[i] if not n else chunk.data[a[i] : b[i]][~gone[a[i] : b[i]]].tobytes())
-        out = {c: chunk.table[c] for c in columns}
+        found = [unpacked(d, "<i8", "<i8") for d in told["data"].to_pylist()]
+        first, last = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+        gone = covered(len(chunk.data), first, last + LENGTH)
+        kept, n_removed, n_spans = [], [], []
+        for a, b in zip(chunk.bounds.tolist(), chunk.bounds.tolist()[1:]):
+            own = gone[a:b]
+            n = int(np.count_nonzero(own))
+            n_removed.append(n)
+            n_spans.append(int(own[0]) + int(np.count_nonzero(own[1:] & ~own[:-1])) if n else 0)  # a span ends with its document
+            kept.append(chunk.data[a:b][~own].tobytes() if n else chunk.raw[a:b])
+        rest = table.select([c for c in columns if not (whole and c == "text")]).take(chunk.order)
+        out = {c: None if whole and c == "text" else rest[c] for c in columns}
         if whole:  # bytes of a character that was cut in two go with the rest of it
             out["text"] = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
         out |= {
-            "n_bytes": pa.array(b - a),
-            "n_removed": pa.array((total[b] - total[a]).astype(np.int64)),
-            "n_spans": pa.array((spans[b] - spans[a]).astype(np.int64)),
+            "n_bytes": pa.array(np.diff(chunk.bounds)),
+            "n_removed": pa.array(n_removed, pa.int64()),
+            "n_spans": pa.array(n_spans, pa.int64()),
             "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
         }
         return pa.table(out)

@@ -1,9 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from mishear.llm import suffix_dedup
+from mishear.llm import _arrow, ngram_join, suffix_dedup
 from tests.llm.test_llm import ODD, passages
 
 
@@ -47,3 +51,46 @@ def test_levels_cover_the_parts():
     for parts in (5, 17, 100, 4097):
         levels = suffix_dedup.split_in(parts, 4)
         assert max(levels) <= 4 and parts <= int(__import__("math").prod(levels))
+
+
+def made_chunk(size):
+    r = random.Random(size)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    texts = [" ".join(r.choice(words) for _ in range(400)) for _ in range(size // 2800)]
+    texts = [t + texts[0][:300] if k % 3 else t for k, t in enumerate(texts)]
+    return pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts), "chunk": pa.array([0] * len(texts), pa.int32())})
+
+
+def test_a_chunk_takes_few_bytes_of_memory_a_byte():
+    table = made_chunk(4 << 20)
+    size = sum(map(len, table["text"].to_pylist()))
+    hashes = suffix_dedup.hashes_of_chunk(2)(table)
+    told = suffix_dedup.answers(pa.concat_tables([hashes, hashes.set_column(1, "chunk", pa.array([1] * len(hashes), pa.int32()))]).filter(pc.field("part") == 0))
+    ranges = suffix_dedup.merge_part(suffix_dedup.runs_of_chunk(2, [2])(table, told))
+    for most, step, other in ((8, suffix_dedup.remove(["doc_id", "text"], True), ranges), (10, suffix_dedup.runs_of_chunk(2, [2]), hashes.slice(0, 0))):
+        tracemalloc.start()
+        try:
+            step(table, other)
+            assert tracemalloc.get_traced_memory()[1] < most * size
+        finally:
+            tracemalloc.stop()
+
+
+def test_ranges_that_overlap_touch_or_repeat():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 5, 60):
+        first = r.integers(0, 800, n)
+        end = first + r.choice([1, 3, 100, 400], n)
+        want = np.zeros(1200, bool)
+        for a, b in zip(first, end):
+            want[a:b] = True
+        assert (suffix_dedup.covered(1200, first, end) == want).all()
+
+
+def test_a_worker_forgets_what_another_module_remembered():
+    _arrow.begin("one")
+    ngram_join._word("kept")
+    _arrow.begin("one")
+    assert ngram_join._word.cache_info().currsize == 1
+    _arrow.begin("two")
+    assert all(f.cache_info().currsize == 0 for f in _arrow.REMEMBERED) and len(_arrow.REMEMBERED) >= 3
