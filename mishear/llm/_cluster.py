@@ -31,9 +31,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared checkpoint folder, its lineage cut.
+
+    A checkpoint keeps the size that the optimizer estimated, for a join the product of its sides. Where each step joins
+    what the last ones made, the digits of that number double from step to step until they fill the driver's heap. So the
+    estimate is cut off too; adaptive execution goes by the sizes that it meets.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept, sql = df.checkpoint(eager=True)._jdf, spark._jvm.org.apache.spark.sql
+    rows = kept.queryExecution().analyzed()
+    none = spark._jvm.scala.Option.apply(None)
+    plan = sql.execution.LogicalRDD(rows.output(), rows.rdd(), rows.outputPartitioning(), rows.outputOrdering(), False, none, spark._jsparkSession, none, none)
+    return DataFrame(sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
 
 
 def removed(spark: SparkSession, path: str) -> None:

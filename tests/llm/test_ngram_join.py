@@ -1,8 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from mishear.llm import ngram_join
+from mishear.llm._cluster import checkpointed
+from mishear.llm._components import components
 from tests.llm.test_llm import ODD, brute_links, passages
 
 
@@ -37,3 +40,16 @@ def test_ids_that_are_null_or_repeat(spark, monkeypatch, docs, blocks):
     frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, digest string")
     got = sorted(((x.doc_id, x.class_id, x.copy_id, x.n_links) for x in ngram_join.join(frame).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_estimates_of_size_do_not_grow_from_step_to_step(spark):
+    def bits(df):
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length()
+
+    step = spark.range(20).withColumnRenamed("id", "a")
+    for _ in range(9):
+        step = checkpointed(step.join(step.withColumnRenamed("a", "b"), F.col("a") == F.col("b")).select("a").distinct())
+    assert bits(step) < 70 and sorted(r.a for r in step.collect()) == list(range(20))
+    order = random.Random(3).sample(range(3000), 3000)  # a long path takes many rounds
+    roots = components(spark.createDataFrame(list(zip(order, order[1:])), "u long, v long"))
+    assert bits(roots) < 400 and roots.where("root <> 0").count() == 0 and roots.count() == 3000
